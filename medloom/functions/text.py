@@ -14,8 +14,8 @@ from . import fixed_values as fv
 
 
 def fold_case(c: Column) -> Column:
-    """Case folding: upper then lower expands sharp s and ligatures as Unicode folding does."""
-    return F.translate(F.lower(F.upper(c)), "ς", "σ")
+    """Lower case with the foldings ``lower`` leaves out: sharp s, long s, final sigma."""
+    return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ſς", "sσ")
 
 
 @F.pandas_udf(T.StringType())

@@ -203,9 +203,9 @@ def prj_endemic_regional(spark, sf):
 
 @query("prj_location_cell", """
 SELECT cell, count(*) AS n FROM (
-  SELECT printf('%.1f,%.1f', round(floor(c_acctbal) / 100 + 0.02, 1), round(c_nationkey * 7 - 80 + 0.31, 1)) AS cell FROM customer) GROUP BY 1""")
+  SELECT printf('%.1f,%.1f', round(floor(c_acctbal / 10) / 10 + 0.02, 1), round(c_nationkey * 7 - 80 + 0.31, 1)) AS cell FROM customer) GROUP BY 1""")
 def prj_location_cell(spark, sf):
-    lat = F.floor("c_acctbal") / 100 + 0.02
+    lat = F.floor(F.col("c_acctbal") / 10) / 10 + 0.02
     lon = F.col("c_nationkey") * 7 - 80 + F.lit(0.31)
     return table(spark, sf, "customer").select(c.location_cell(lat, lon).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
