@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.stats import benjamini_hochberg, hypergeometric_tail
 from ..functions.text import dosha_components
+from .quantiles import median
 
 
 def overview(dimension: DataFrame, key: str, facts: list[tuple[DataFrame, list[Column]]], order: str) -> DataFrame:
@@ -118,10 +119,13 @@ def stale_cells(wanted: DataFrame, cache: DataFrame, as_of: Column, days: int =
 
 def reference_row(df: DataFrame, categories: list[str], numbers: list[str]) -> DataFrame:
     """One row: most frequent level (ties to the smallest) and exact median."""
-    return df.agg(
-        *[F.mode(c, True).alias(c) for c in categories],
-        *[F.percentile(c, F.lit(0.5)).alias(c) for c in numbers],
-    )
+    modes = None
+    for c in categories:
+        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+        one = counts.agg(F.min_by(c, F.struct(-F.col("n"), F.col(c))).alias(c))
+        modes = one if modes is None else modes.crossJoin(one)
+    out = modes if modes is not None else df.sparkSession.range(1).select()
+    return out.select("*", *[F.lit(median(df, c)).alias(c) for c in numbers])
 
 
 def top_conditions(conditions: DataFrame, sizes: DataFrame, n: int = 10) -> DataFrame:

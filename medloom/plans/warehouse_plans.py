@@ -183,23 +183,23 @@ def newest_n(spark, sf):
 
 
 @query("consensus_rank", """
-WITH t AS (SELECT l_suppkey, count(*) AS a, round(avg(l_discount), 3) AS b, sum(l_linenumber) AS c FROM lineitem GROUP BY 1),
-r AS (SELECT l_suppkey, round((rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0
+WITH t AS (SELECT l_quantity, count(*) AS a, round(avg(l_discount), 3) AS b, sum(l_linenumber) AS c FROM lineitem GROUP BY 1),
+r AS (SELECT l_quantity, round((rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0
      + rank() OVER (ORDER BY b DESC) + (count(*) OVER (PARTITION BY b) - 1) / 2.0
      + rank() OVER (ORDER BY c DESC) + (count(*) OVER (PARTITION BY c) - 1) / 2.0) / 3, 9) AS m FROM t)
-SELECT l_suppkey, rank() OVER (ORDER BY m) AS consensus_rank FROM r""")
+SELECT l_quantity, rank() OVER (ORDER BY m) AS consensus_rank FROM r""")
 def consensus_rank(spark, sf):
-    t = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(
+    t = table(spark, sf, "lineitem").groupBy("l_quantity").agg(
         F.count(F.lit(1)).alias("a"), F.round(F.avg("l_discount"), 3).alias("b"), F.sum("l_linenumber").alias("c"))
-    return w.consensus_rank(t, ["a"], ["b", "c"]).select("l_suppkey", F.col("consensus_rank").cast("long").alias("consensus_rank"))
+    return w.consensus_rank(t, ["a"], ["b", "c"]).select("l_quantity", F.col("consensus_rank").cast("long").alias("consensus_rank"))
 
 
 @query("set_union", """
-SELECT 'CL-' || s_suppkey AS condition_id, s_name AS name, s_nationkey AS system, NULL AS herb FROM supplier
+SELECT 'CL-' || s_suppkey AS condition_id, s_name AS name, s_nationkey::VARCHAR AS system, NULL AS herb FROM supplier
 UNION ALL SELECT 'MO-' || p_partkey, p_name, NULL, p_brand FROM part""")
 def set_union(spark, sf):
     left = table(spark, sf, "supplier").select(
-        F.concat(F.lit("CL-"), "s_suppkey").alias("condition_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("system"))
+        F.concat(F.lit("CL-"), "s_suppkey").alias("condition_id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("system"))
     right = table(spark, sf, "part").select(
         F.concat(F.lit("MO-"), "p_partkey").alias("condition_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("herb"))
     return w.union_bases(left, right)
