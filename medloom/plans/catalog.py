@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import cleaning_plans, longitudinal_plans, quality_plans, text_plans, warehouse_plans  # noqa: F401
+from . import cleaning_plans, linkage_plans, longitudinal_plans, quality_plans, scoring_plans, text_plans, warehouse_plans  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
