@@ -44,6 +44,16 @@ def guarded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when the input comes in fewer splits than there are cores.
+
+    Meant for work that is heavy per row, such as text. A large input has more splits than cores and
+    is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def dense_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
     """Global 0-based position by ``order`` without a one-partition window.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import text as tx
 from ..operators import cleaning as c
+from ..operators.skew import spread
 from . import standins as s
 from .base import query, sql_values, table
 
@@ -168,7 +169,7 @@ FROM (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || pa
 def prj_age_sex(spark, sf):
     d = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
     p = table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
-    both = d.unionByName(p).select("id", c.age_range(F.col("text")).alias("a"), c.sex_weight(F.col("text")).alias("w"))
+    both = spread(d.unionByName(p)).select("id", c.age_range(F.col("text")).alias("a"), c.sex_weight(F.col("text")).alias("w"))
     return both.select("id", "a.low", "a.high", "w.female", "w.male")
 
 

@@ -247,7 +247,7 @@ SELECT case_id, round(lp, 3) AS prior, round(CASE WHEN age IS NULL THEN 0 ELSE l
 FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(z, 9) DESC, condition_id) AS n FROM post) JOIN kb USING (condition_id) JOIN cases USING (case_id) WHERE n = 1""")
 def differential_factors(spark, sf):
     first = scored(spark, sf, 1, 0).select("case_id", F.col("ranked")[0]["factors"].alias("f"))
-    return first.select("case_id", *[(F.element_at("f", k) + F.lit(0.0)).alias(k) for k in ("prior", "age", "sex")])
+    return first.select("case_id", *[(F.col(f"f.{k}") + F.lit(0.0)).alias(k) for k in ("prior", "age", "sex")])
 
 
 GAIN = """gain AS (SELECT case_id, symptom, -max(own) + (s1 - m1 * log2(m1)) + (s0 - m0 * log2(m0)) AS gain FROM (

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import spread
 from .base import table
 
 K = "cast(json_extract_string(props, '$.k') as integer)"
@@ -232,4 +233,4 @@ COHORT = """cohort AS (
 
 # --- texts -------------------------------------------------------------------------------------------
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Scoring and text work is heavy per row, so small shuffles keep more tasks than by default.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -27,10 +30,12 @@ def build_session(app: str = "medloom", master: str | None = None, **conf: str)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage.
+    """Write ``df`` to the shared checkpoint folder and read it back.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local master
-    (tests, a laptop) may fall back to a private folder; anywhere else it must be shared.
+    (tests, a laptop) may fall back to a private folder; anywhere else it must be shared. A written
+    table survives lost executors, and unlike a checkpointed RDD it comes back with its true size,
+    so the joins that follow are planned by size.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -42,4 +47,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="medloom-ckpt-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
