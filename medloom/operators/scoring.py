@@ -74,7 +74,8 @@ def imbalance(answers: DataFrame, llr: DataFrame, conditions: DataFrame, evidenc
     n = F.coalesce("used", F.lit(0)) + F.coalesce("items", F.lit(0))
     heat = F.greatest(F.lit(1.0), F.sqrt(n)) if tempered else F.lit(1.0)
     joined = both.join(F.broadcast(base_rates(conditions))).withColumn("used", F.coalesce("used", F.lit(0)))
-    z = [F.log(f"base_{d}") + (F.coalesce(f"s_{d}", F.lit(0.0)) + F.coalesce(d, F.lit(0.0))) / heat for d in fv.DOSHAS]
+    start = lambda d: F.when(F.col(f"base_{d}") > 0, F.log(f"base_{d}")).otherwise(F.lit(float("-inf")))
+    z = [start(d) + (F.coalesce(f"s_{d}", F.lit(0.0)) + F.coalesce(d, F.lit(0.0))) / heat for d in fv.DOSHAS]
     named = joined.select("case_id", "used", *[x.alias(f"z_{d}") for x, d in zip(z, fv.DOSHAS)])
     return _shares(named, [F.col(f"z_{d}") for d in fv.DOSHAS], ["used"])
 

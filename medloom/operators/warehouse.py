@@ -85,8 +85,9 @@ def dosha_llr(bridge: DataFrame, conditions: DataFrame, m: float = fv.LLR_PSEUDO
         F.struct(F.lit(d).alias("dosha"), F.col(d).alias("hits"), F.col(f"base_{d}").alias("base")) for d in fv.DOSHAS
     ])).alias("c")).select("symptom", "n", "c.*")
     p = (F.col("hits") + m * F.col("base")) / (F.col("n") + m)
-    logit = lambda x: F.log(x / (1 - x))
-    return long.select("symptom", "dosha", F.round(logit(p) - logit(F.col("base")), 4).alias("llr"))
+    logit = lambda x: F.log(x) - F.log(1 - x)
+    # A dosha that no or every known condition has carries no evidence.
+    return long.select("symptom", "dosha", F.coalesce(F.round(logit(p) - logit(F.col("base")), 4), F.lit(0.0)).alias("llr"))
 
 
 def base_rates(conditions: DataFrame) -> DataFrame:
