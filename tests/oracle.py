@@ -21,7 +21,7 @@ def canonical(frame: pd.DataFrame) -> pd.DataFrame:
         if v is None or (isinstance(v, float) and v != v) or v is pd.NaT or v is pd.NA:
             return "~"
         if isinstance(v, float):
-            return "0.0" if v == 0 else repr(v)
+            return str(int(v)) if v.is_integer() else repr(v)  # a NULL turns a whole pandas column to float
         return f"{type(v).__name__[:3]}:{v}" if isinstance(v, bool) else str(v)
 
     out = pd.DataFrame({c: [show(v) for v in frame[c].tolist()] for c in sorted(frame.columns)})
