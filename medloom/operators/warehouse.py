@@ -27,7 +27,7 @@ def overview(dimension: DataFrame, key: str, facts: list[tuple[DataFrame, list[C
 def cluster_by_system(bridge: DataFrame, symptom_cluster: DataFrame, conditions: DataFrame) -> DataFrame:
     """(cluster_id, body_system, conditions): distinct conditions per cell."""
     clustered = symptom_cluster.where("cluster_id >= 0").select("symptom", "cluster_id")
-    pairs = bridge.join(F.broadcast(clustered), "symptom").select("condition_id", "cluster_id").distinct()
+    pairs = bridge.join(clustered, "symptom").select("condition_id", "cluster_id").distinct()
     return (
         pairs.join(conditions.select("condition_id", "body_system"), "condition_id")
         .groupBy("cluster_id", "body_system").agg(F.count(F.lit(1)).alias("conditions"))
