@@ -71,8 +71,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def string_batches(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Consecutive rows of about ``limit`` bytes: first row, end row, their bytes, their offsets."""
+def string_batches(column: pa.Array, limit: int = 1 << 20, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Consecutive rows of about ``limit`` bytes, ``rows`` at most: first row, end row, bytes, offsets."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if pa.types.is_large_string(column.type) or pa.types.is_string_view(column.type):
@@ -85,7 +85,7 @@ def string_batches(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1), lo + rows)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 

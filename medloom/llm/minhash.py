@@ -50,22 +50,20 @@ def weight_of(codes: np.ndarray) -> np.ndarray:
     return (1 + codes.astype(np.float32) / CODES).astype(np.float32)
 
 
-def _group_shingles(column, limit: int = 1 << 20):
-    """Hashes (56 bits) and row of every shingle of a column, in slices of bounded bytes."""
-    for lo, hi, buf, offsets in string_batches(column, limit):
+def _group_shingles(column, limit: int = 1 << 18):
+    """Hashes (56 bits) and row of every shingle of a column, in slices of bounded bytes and 256 rows."""
+    for lo, hi, buf, offsets in string_batches(column, limit, 1 << (64 - HASH_BITS)):
         words, first, _, _ = word_hashes(buf, offsets)
         h, rows, _ = shingle_hashes(words, first)
         yield lo, hi, h >> np.uint64(64 - HASH_BITS), rows
 
 
 def _counted(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, hash) in that order with their counts."""
-    order = np.lexsort((h, rows))
-    h, rows = h[order], rows[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
-    at = np.flatnonzero(new)
-    return h[at], rows[at], np.diff(np.append(at, len(h)))
+    """Distinct (row, hash) in that order with their counts; the row stands above the hash's 56 bits."""
+    both = np.sort((rows.astype(np.uint64) << np.uint64(HASH_BITS)) | h)
+    at = np.flatnonzero(np.diff(both, prepend=~both[:1]))
+    both, tf = both[at], np.diff(np.append(at, len(both)))
+    return both & np.uint64((1 << HASH_BITS) - 1), (both >> np.uint64(HASH_BITS)).astype(np.int64), tf
 
 
 def _pack(sorted_hashes: np.ndarray, base: int) -> bytes:
@@ -135,29 +133,35 @@ _TABLE_BITS = 16
 
 
 @lru_cache(1)
-def _draws() -> np.ndarray:
-    """Rows of (1 / r, beta, r, log c): r and c gamma(2, 1), beta uniform. Fixed by the seed."""
+def _draws() -> tuple[np.ndarray, ...]:
+    """1 / r, beta, r and log c + r * beta - r: r and c gamma(2, 1), beta uniform. Fixed by the seed."""
     rng = np.random.Generator(np.random.PCG64(20_240_229))
     n = 1 << _TABLE_BITS
-    r = rng.gamma(2.0, 1.0, n).astype(np.float32)
-    return np.stack([1 / r, rng.random(n, np.float32), r, np.log(rng.gamma(2.0, 1.0, n)).astype(np.float32)], 1)
+    r, beta, c = rng.gamma(2.0, 1.0, n), rng.random(n), rng.gamma(2.0, 1.0, n)
+    return tuple(x.astype(np.float32) for x in (1 / r, beta, r, np.log(c) + r * beta - r))
 
 
-def samples(h: np.ndarray, log_weight: np.ndarray, starts: np.ndarray, draws: np.ndarray, k: int) -> np.ndarray:
-    """k consistent samples for each run of shingles that begins at ``starts``: runs x k numbers."""
+def samples(h: np.ndarray, log_weight: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """k consistent samples for each run of shingles that begins at ``starts``: runs x k numbers.
+
+    With t = floor(log w / r + beta), the sample is the shingle of least log a = log c - r (t - beta + 1),
+    together with its t. Of equal values the smallest hash counts, which comes first in its run.
+    """
     out = np.empty((len(starts), k), np.uint64)
-    seeds = mix(np.arange(1, 2 * k + 1, dtype=np.uint64)) | np.uint64(1)
-    low = mix(h)
+    inverse, beta, r, q = _draws()
+    seeds = mix(np.arange(1, 2 * k + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+    spread = mix(h)
+    low = (spread >> np.uint64(32)).astype(np.uint32)
+    counts = np.diff(np.append(starts, len(h)))
     for j in range(k):
-        row = draws[(((low * seeds[j]) + seeds[k + j]) >> np.uint64(64 - _TABLE_BITS)).astype(np.int32)]
-        t = np.floor(log_weight * row[:, 0] + row[:, 1])
-        log_a = row[:, 3] - row[:, 2] * (t - row[:, 1] + np.float32(1))
-        bits = log_a.view(np.uint32)
-        ordered = bits ^ np.where(bits >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(0x80000000))
-        mark = (low >> np.uint64(32)) + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B1)
-        key = (ordered.astype(np.uint64) << np.uint64(32)) | (mark & np.uint64(0xFFFFFFFF))
-        out[:, j] = np.minimum.reduceat(key, starts)
-    return out & np.uint64(0xFFFFFFFF)
+        at = ((low * seeds[j] + seeds[k + j]) >> np.uint32(32 - _TABLE_BITS)).astype(np.intp)
+        t = np.floor(log_weight * inverse[at] + beta[at])
+        log_a = q[at] - r[at] * t
+        least = np.minimum.reduceat(log_a, starts)
+        hits = np.flatnonzero(log_a == np.repeat(least, counts))
+        chosen = hits[np.searchsorted(hits, starts)]
+        out[:, j] = mix(spread[chosen] + t[chosen].astype(np.int64).view(np.uint64))
+    return out
 
 
 def _band_keys(sample: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -173,7 +177,6 @@ def _sign(bands: int, rows: int):
         codes = np.frombuffer(b"".join(x.as_py() for x in parts), np.uint8)
         slices = [(lo, hi, *_counted(h, rows_)) for lo, hi, h, rows_ in _group_shingles(docs.column("words"))]
         known = np.unique(np.concatenate([s[2] for s in slices])) if slices else np.zeros(0, np.uint64)
-        draws = _draws()
         bands_out, codes_out = [None] * docs.num_rows, [b""] * docs.num_rows
         for lo, hi, h, rows_, tf in slices:
             if not len(h):
@@ -182,7 +185,7 @@ def _sign(bands: int, rows: int):
             starts = np.flatnonzero(np.diff(rows_, prepend=-1))
             ends = np.append(starts[1:], len(h))
             log_weight = np.log(tf.astype(np.float32) * weight_of(own))
-            keys = _band_keys(samples(h, log_weight, starts, draws, bands * rows), bands, rows)
+            keys = _band_keys(samples(h, log_weight, starts, bands * rows), bands, rows)
             for i, (s, e) in enumerate(zip(starts, ends)):
                 codes_out[lo + rows_[s]] = own[s:e].tobytes()
                 bands_out[lo + rows_[s]] = keys[i]
@@ -233,30 +236,31 @@ def _hub_pairs(buckets: DataFrame) -> DataFrame:
     return cut(shared.join(hubs, ["band", "key"]).select("band", "key", "doc_id", "hub"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, hub, similarity) of the pairs at or above the threshold."""
-    ids = pairs.select("doc_id").unionByName(pairs.select(F.col("hub").alias("doc_id"))).distinct()
-    wanted = heads.join(ids, "doc_id")
-    own = cut(texts.select("doc_id", "same", "words", "codes").join(wanted, ["doc_id", "same"], "left_semi").drop("same").dropDuplicates(["doc_id"]))
-    lead = own.select(F.col("doc_id").alias("hub"), F.col("words").alias("hub_words"), F.col("codes").alias("hub_codes"))
-    both = pairs.join(own, "doc_id").join(lead, "hub")
+def verified(pairs: DataFrame, pool: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, hub, similarity) of the pairs at or above the threshold; ``pool`` has their texts."""
+    lead = pool.select(F.col("doc_id").alias("hub"), F.col("words").alias("hub_words"), F.col("codes").alias("hub_codes"))
+    lead = lead.join(pairs.select("hub").distinct(), "hub", "left_semi")
+    both = pairs.join(pool, "doc_id").join(lead, "hub")
     return both.mapInArrow(_compare, "doc_id long, hub long, similarity double").filter(F.col("similarity") >= threshold)
 
 
 def near_links(texts: DataFrame, heads: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (doc_id, hub, similarity) among the ``heads`` (doc_id, same) of ``texts``."""
-    banded = texts.select("doc_id", "same", "bands").join(heads, ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"])
+    banded = texts.filter("bands IS NOT NULL").select("doc_id", "same", "bands").join(heads, ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"])
     buckets = cut(banded.select("doc_id", F.posexplode("bands").alias("band", "key")))
+    pairs = _hub_pairs(buckets)
+    company = heads.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    # the texts of all candidates, gathered once for all rounds
+    pool = cut(texts.select("doc_id", "same", "words", "codes").join(company, ["doc_id", "same"], "left_semi").drop("same").dropDuplicates(["doc_id"]))
     found, tried = [], []
     while True:
-        pairs = _hub_pairs(buckets)
         fresh = pairs.filter("doc_id <> hub").select("doc_id", "hub").distinct()
         for old in tried:
             fresh = fresh.join(old, ["doc_id", "hub"], "left_anti")
         fresh = cut(fresh)
         if fresh.isEmpty():
             break
-        links = cut(verified(fresh, texts, heads, threshold))
+        links = cut(verified(fresh, pool, threshold))
         tried.append(fresh)
         found.append(links)
         if links.isEmpty():
@@ -264,7 +268,7 @@ def near_links(texts: DataFrame, heads: DataFrame, threshold: float = THRESHOLD)
         # who is not like the hub of a bucket stays in it, together with the others like that
         linked = reduce(DataFrame.unionByName, found).select("doc_id", "hub").distinct()
         left = pairs.filter("doc_id <> hub").join(linked, ["doc_id", "hub"], "left_anti")
-        buckets = cut(left.select("doc_id", "band", "key"))
+        pairs = _hub_pairs(cut(left.select("doc_id", "band", "key")))
     if not found:
         return texts.sparkSession.createDataFrame([], "doc_id long, hub long, similarity double")
     return reduce(DataFrame.unionByName, found)
@@ -279,17 +283,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     told apart and are left out; a repeated doc_id counts once, with one of its texts.
     """
     words = words_of(text_of())
-    dealt = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
-    keyed = cut(dealt.groupBy("doc_id").agg(F.min(F.md5("words")).alias("same")))
+    groups = pieces(total_bytes(docs), group_bytes)
+    given = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
+    dealt = given.select("doc_id", F.md5("words").alias("same"), "words", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"))
+    codes = cut(document_frequency(dealt.select("g", "words"), groups, docs.count()))
+    signed = cut(dealt.groupBy("g").cogroup(codes.groupBy("g")).applyInArrow(_sign(bands, rows), "doc_id long, same string, words string, codes binary, bands array<long>"))
+    keyed = cut(signed.groupBy("doc_id").agg(F.min("same").alias("same")))
     firsts = keyed.groupBy("same").agg(F.min("doc_id").alias("first"))
     member = cut(keyed.join(firsts, "same").select("doc_id", "same", "first"))
-    heads = member.filter("doc_id = first").select("doc_id", "same")
-    groups = pieces(total_bytes(docs), group_bytes)
-    dealt = dealt.select("doc_id", F.md5("words").alias("same"), "words", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"))
-    codes = cut(document_frequency(dealt.select("g", "words"), groups, member.count()))
-    signed = dealt.groupBy("g").cogroup(codes.groupBy("g")).applyInArrow(_sign(bands, rows), "doc_id long, same string, words string, codes binary, bands array<long>")
-    signed = cut(signed.filter("bands IS NOT NULL"))
-    links = near_links(signed, heads, threshold)
+    links = near_links(signed, member.filter("doc_id = first").select("doc_id", "same"), threshold)
     roots = components(links.select(F.col("doc_id").alias("u"), F.col("hub").alias("v")))
     degree = links.select("doc_id").unionByName(links.select(F.col("hub").alias("doc_id"))).groupBy(F.col("doc_id").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
     known = roots.join(degree, "node").select(F.col("node").alias("first"), "root", "n_links")
