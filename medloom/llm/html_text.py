@@ -105,20 +105,24 @@ class _Page:
         self.gap = False  # a blank line is due before the next text
         self.indent = ""
         self.mark = ""  # bullet of the list item that begins
+        self.exact = False  # the line has preformatted text
 
     def text(self, s: str, pre: bool) -> None:
         if pre:
             head, *rest = s.split("\n")
             self.now.append(head)
+            self.exact = True
             for line in rest:
                 self.end_line(keep=True)
                 self.now.append(line)
+                self.exact = True
         else:
             self.now.append(SPACE.sub(" ", s))
 
     def end_line(self, keep: bool = False) -> None:
         line = "".join(self.now)
-        self.now = []
+        keep = keep or self.exact and bool(line.strip())
+        self.now, self.exact = [], False
         line = line.rstrip() if keep else SPACE.sub(" ", line).strip("  " if not line.strip() else " ")
         if line.strip() or (keep and self.lines):
             if self.gap and self.lines and self.lines[-1]:
@@ -155,12 +159,29 @@ def _rows(table: Node):
             waiting.extend(reversed(child.children))
 
 
+def _outside(table: Node):
+    """Captions and what stands in a table but in none of its cells: shown before the rows."""
+    waiting = list(reversed(table.children))
+    while waiting:
+        child = waiting.pop()
+        if isinstance(child, str):
+            if child.strip():
+                yield child
+        elif child.tag in ("tr", "thead", "tbody", "tfoot"):
+            if _visible(child):
+                waiting.extend(reversed(child.children))
+        elif child.tag not in ("td", "th", "colgroup", "col"):
+            yield child
+
+
 def _table(page: _Page, table: Node) -> None:
-    for child in table.children:
-        if isinstance(child, Node) and child.tag == "caption" and _visible(child):
-            _element(page, child, False, 0)
-        elif isinstance(child, str) and child.strip():
+    page.level += 1
+    for child in _outside(table):
+        if isinstance(child, str):
             page.text(child, False)
+        else:
+            _element(page, child, False, 0)
+    page.level -= 1
     page.end_line()
     rows = [[render(cell, page.level + 1).replace("\n\n", "\n").split("\n") for cell in row] for row in _rows(table)]
     if len(rows) == 1 and len(rows[0]) == 1:  # a frame, not a table
