@@ -38,9 +38,10 @@ def last_n(df: DataFrame, keys: list[str], order: list[str], n: int = fv.HISTORY
     return df.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
-def upsert_daily(entries: DataFrame, today: Column, backfill: int = fv.BACKFILL_DAYS) -> DataFrame:
-    """One row per (user, day): the last write wins; days too old or in the future are refused."""
-    inside = (F.col("day") <= today) & (F.col("day") >= F.date_sub(today, backfill))
+def upsert_daily(entries: DataFrame, backfill: int = fv.BACKFILL_DAYS) -> DataFrame:
+    """One row per (user, day): the last write wins; a write for a day too old or ahead of it is refused."""
+    written = F.to_date("written_at")
+    inside = (F.col("day") <= written) & (F.col("day") >= F.date_sub(written, backfill))
     return latest(entries.where(inside), ["user_id", "day"], ["written_at", "id"])
 
 

@@ -42,11 +42,11 @@ SCORE = " + ".join(
     + ["CASE WHEN value > 50 THEN 10 ELSE 0 END"])
 LOGS = f"""{s.DAILY},
 logs AS (SELECT user_id, day, id, k, value, score FROM (SELECT *, {SCORE} AS score, row_number() OVER (PARTITION BY user_id, day ORDER BY written_at DESC, id DESC) AS n
-  FROM daily WHERE day <= {TODAY_SQL} AND day >= {TODAY_SQL} - 30) WHERE n = 1)"""
+  FROM daily WHERE day <= CAST(written_at AS DATE) AND day >= CAST(written_at AS DATE) - 30) WHERE n = 1)"""
 
 
 def daily_logs(spark, sf):
-    return lo.upsert_daily(daily_scored(spark, sf), today())
+    return lo.upsert_daily(daily_scored(spark, sf))
 
 
 @query("routine_score", f"WITH {s.DAILY} SELECT id, {SCORE} AS score FROM daily")
@@ -67,7 +67,7 @@ def week_window(spark, sf):
 
 
 STREAK = f"""streak AS (SELECT user_id, count(*) FILTER (WHERE {TODAY_SQL} - day - n + 1 = 0) AS streak FROM (
-  SELECT user_id, day, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS n FROM logs) GROUP BY 1)"""
+  SELECT user_id, day, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS n FROM logs WHERE day <= {TODAY_SQL}) GROUP BY 1)"""
 
 
 @query("streak", f"WITH {LOGS}, {STREAK} SELECT user_id, streak FROM streak")
