@@ -22,7 +22,7 @@ ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 # loose: at least 20 characters with a digit, an upper and a lower case letter
-GENERIC = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,200}[0-9])(?=[a-z0-9_-]{0,200}[A-Z])(?=[A-Z0-9_-]{0,200}[a-z])[A-Za-z0-9_-]{20,}"
+GENERIC = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[a-z0-9_-]*+[A-Z])(?=[A-Z0-9_-]*+[a-z])[A-Za-z0-9_-]{20,}"
 OWNERS = 2  # a credential of more owners is a copied example
 
 
