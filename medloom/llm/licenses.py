@@ -137,12 +137,16 @@ def _templates() -> Column:
 
 
 def with_share(lines: DataFrame, family: Column | None = None) -> DataFrame:
-    """Adds ``share``: the largest share of a notice's grams in ``line``, of any or one ``family``."""
+    """Adds ``share``: the largest share of a notice's grams in ``line``, of any or one ``family``.
+
+    A line keeps the grams that some notice has before single notices are compared.
+    """
     held = lines.withColumn("given", tokens(F.col("line")))
     held = held.withColumn("given", F.concat(_runs(F.col("given"), 2), _runs(F.col("given"), 3)))
     meant = _templates() if family is None else F.filter(_templates(), lambda t: t["family"] == family)
+    known = F.array_distinct(F.flatten(F.transform(_templates(), lambda t: t["grams"])))
     best = lambda g: F.array_max(F.transform(meant, lambda t: F.size(F.array_intersect(t["grams"], g)) / F.size(t["grams"])))
-    shares = F.transform(F.array("given"), best)  # one element: a lambda's argument is made once
+    shares = F.transform(F.array(F.array_intersect(known, "given")), lambda g: F.when(F.size(g) > 0, best(g)))  # one element: a lambda's argument is made once
     return held.withColumn("share", F.coalesce(F.element_at(shares, 1), F.lit(0.0))).drop("given")
 
 
