@@ -43,7 +43,7 @@ def grams_sql(src, key, lo, hi):
 
 @query("lnk_terms", f"""
 WITH {WORDS.format('benchmark')}, names AS (SELECT DISTINCT w AS name, {phonetic_sql('w')} AS k FROM words),
-rw AS (SELECT w, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-ZàâçéèêëîïôùûüñáíóúäöÀÉÈ]+')) AS w FROM documents) GROUP BY 1 HAVING count(DISTINCT doc_id) * 10 >= (SELECT count(*) FROM documents)),
+rw AS (SELECT w, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-ZàâçéèêëîïôùûüñáíóúäöÀÉÈ]+')) AS w FROM documents) GROUP BY 1),
 refs AS (SELECT {phonetic_sql('w')} AS key, arg_min(w, w) AS term FROM rw GROUP BY 1 HAVING length(key) >= 3),
 openk AS (SELECT DISTINCT k FROM names WHERE length(k) >= 4 AND k NOT IN (SELECT key FROM refs)),
 rg AS ({grams_sql('refs', 'key', 2, 3)}), wt AS (SELECT gram, ln((1 + (SELECT count(*) FROM refs))::DOUBLE / (1 + count(*))) + 1 AS idf FROM rg GROUP BY 1),
@@ -61,9 +61,8 @@ FROM names LEFT JOIN refs ON refs.key = names.k LEFT JOIN ok ON ok.k = names.k""
 def lnk_terms(spark, sf):
     docs = s.documents(spark, sf)
     each = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-zA-ZàâçéèêëîïôùûüñáíóúäöÀÉÈ]+"), F.lit(0)))).alias("w"))
-    total = docs.agg(F.count(F.lit(1)).alias("t"))
-    common = each.groupBy("w").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).where("df * 10 >= t")
-    out = ln.link_terms(words(table(spark, sf, "benchmark")), "w", common, "w", "w", "w")
+    known = each.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    out = ln.link_terms(words(table(spark, sf, "benchmark")), "w", known, "w", "w", "w")
     return out.select("name", "term", "tier", F.round("score", 5).alias("score"))
 
 
@@ -71,7 +70,7 @@ GEO = ["India", "South East Asia", "Asia", "Worldwide", "Europe", "United States
 CLASSES = [c for c, _ in fv.PREVALENCE_CLASSES] + ["Unknown", "Not yet documented", "None"]
 TYPES = list(fv.TYPE_PREFERENCE)
 PREV = f"""prev AS (SELECT l_suppkey * 7 + l_linenumber AS orphacode, {GEO}[1 + (l_partkey % 7)] AS geography, {TYPES}[1 + (l_orderkey % 5)] AS type,
-  {CLASSES}[1 + CAST(round(l_tax * 100) AS INT)] AS class, l_orderkey * 1000 + l_partkey AS pos FROM lineitem WHERE l_orderkey % 4 <> l_linenumber % 4)"""
+  {CLASSES}[1 + CAST(round(l_tax * 100) AS INT)] AS class, l_orderkey * 1000 + l_partkey AS pos FROM lineitem)"""
 PRIORS = f"""{PREV},
 usable AS (SELECT p.*, CASE WHEN type = 'Cases/families' THEN 2e-7 ELSE mid END AS p, CASE WHEN type = 'Cases/families' THEN 'case reports only' ELSE p.class END AS cls, g_rank, t_rank
   FROM prev p JOIN {sql_values([(g, i) for i, g in enumerate(fv.GEOGRAPHY_PREFERENCE)], 'geography, g_rank', 'gg')} USING (geography)
@@ -83,7 +82,7 @@ priors AS (SELECT orphacode, round(least(1.0, sqrt(p / 1e-3)), 4) AS weight, cls
 
 def prevalence(spark, sf):
     pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i + 1).cast("int"))
-    return table(spark, sf, "lineitem").where("l_orderkey % 4 <> l_linenumber % 4").select(
+    return table(spark, sf, "lineitem").select(
         (F.col("l_suppkey") * 7 + F.col("l_linenumber")).alias("orphacode"), pick(GEO, F.col("l_partkey") % 7).alias("geography"),
         pick(TYPES, F.col("l_orderkey") % 5).alias("type"), pick(CLASSES, F.round(F.col("l_tax") * 100)).alias("class"),
         (F.col("l_orderkey") * 1000 + F.col("l_partkey")).alias("pos"))

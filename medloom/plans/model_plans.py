@@ -257,7 +257,7 @@ def risk_reasons(spark, sf):
     cohort = s.cohort(spark, sf)
     known = cohort.where("outcome IS NOT NULL").withColumn("label", F.col("outcome").cast("double"))
     rows = risk.prepare(known, ["segment"], ["age", "c_acctbal"], ["label"])
-    model = risk.logistic_candidate(["segment"], ["age", "c_acctbal"], 10_000).fit(rows)
+    model = risk.logistic_candidate(["segment"], ["age", "c_acctbal"], rows.count()).fit(rows)
     reference = wh.reference_row(cohort, ["segment"], ["age", "c_acctbal"])
     return risk.score_with_reasons(model, cohort, reference, ["segment"], ["age", "c_acctbal"], "record_id", 0.5)
 

@@ -84,13 +84,13 @@ _EV = [(src, item) for src, item in dict.fromkeys((a, b) for a, b, *_ in fv.EVID
 def findings(spark, sf):
     pairs = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("item")) for a, b in _EV], F.struct(F.lit("pariksha.jihva").alias("source"), F.lit("normal").alias("item")))
     picks = F.array((F.col("o_custkey") % (len(_EV) + 1) + 1).cast("int"), (F.col("o_orderkey") % (len(_EV) + 1) + 1).cast("int"))
-    rows = table(spark, sf, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("case_id"), F.explode(F.array_distinct(picks)).alias("i"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), F.explode(F.array_distinct(picks)).alias("i"))
     return rows.select("case_id", F.element_at(pairs, F.col("i")).alias("f")).select("case_id", "f.source", "f.item")
 
 
 _EVSQL = sql_values([(i, a, b) for i, (a, b) in enumerate(_EV)] + [(len(_EV), "pariksha.jihva", "normal")], "i, source, item", "ev")
 WEIGHTS = sql_values(fv.EVIDENCE_WEIGHTS, "source, item, dosha, w", "ew")
-FIND = f"""findings AS (SELECT DISTINCT case_id, source, item FROM (SELECT o_orderkey AS case_id, unnest([o_custkey % {len(_EV) + 1}, o_orderkey % {len(_EV) + 1}]) AS i FROM orders WHERE o_orderkey % 5 <> 0) JOIN {_EVSQL} USING (i)),
+FIND = f"""findings AS (SELECT DISTINCT case_id, source, item FROM (SELECT o_orderkey AS case_id, unnest([o_custkey % {len(_EV) + 1}, o_orderkey % {len(_EV) + 1}]) AS i FROM orders) JOIN {_EVSQL} USING (i)),
 exam AS (SELECT case_id, count(DISTINCT source || item) AS items, coalesce(sum(w) FILTER (WHERE dosha = 'vata'), 0) AS ev, coalesce(sum(w) FILTER (WHERE dosha = 'pitta'), 0) AS ep,
    coalesce(sum(w) FILTER (WHERE dosha = 'kapha'), 0) AS ek FROM findings JOIN {WEIGHTS} USING (source, item) GROUP BY 1)"""
 

@@ -23,9 +23,12 @@ def src_fingerprint(spark, sf):
     return sinks.fingerprint(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 @query("src_checksums")
 def src_checksums(spark, sf):
-    return readers.file_digests(spark, [f"{sf}/{n}.parquet" for n in ("orders", "customer", "part")]).select(
+    return readers.file_digests(spark, [f"{sf}/{n}.parquet" for n in TABLES]).select(
         F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
 
 
