@@ -291,3 +291,29 @@ def test_gate_needs_enough_cases(spark):
     few = spark.createDataFrame([(0, 1, "2024-01-01", 30, "male")], "case_id int, condition_id int, created_at string, age int, sex string")
     answers = spark.createDataFrame([(0, "cough", True)], "case_id int, symptom string, present boolean")
     assert learning.gate(few, answers, conditions, bridge, terms).first()["promoted"] is False
+
+
+def test_factors_do_not_depend_on_the_other_cases_of_a_batch(spark):
+    conditions = spark.createDataFrame(
+        [(1, "x", 0.0, 1.0, 0.0, 0.0, 0, 90, 1.0, 1.0), (2, "y", 0.0, 0.0, 1.0, 0.0, 0, 90, 1.0, 1.0)],
+        "condition_id int, name string, log_prior double, vata double, pitta double, kapha double, age_low int, age_high int, female_weight double, male_weight double")
+    cells = spark.createDataFrame([(1, "s", 0.9), (2, "s", 0.2)], "condition_id int, symptom string, theta double")
+    terms = spark.createDataFrame([("s", 0.3)], "symptom string, background double")
+    blocks = bayes.read_blocks(conditions, cells, terms)
+    cases = spark.createDataFrame([(1, ["s"], [], None), (2, ["s"], [], [0.6, 0.2, 0.2])], "case_id int, yes array<string>, no array<string>, vikriti array<double>")
+
+    def factors(df):
+        return {r["case_id"]: [x["factors"]["vikriti"] for x in r["ranked"]] for r in bayes.score_cases(df, blocks).collect()}
+
+    together, alone = factors(cases.coalesce(1)), factors(cases.where("case_id = 1"))
+    assert alone[1] == together[1] == [0.0, 0.0]
+    assert any(together[2])
+
+
+def test_pairs_of_a_row_longer_than_a_chunk_are_all_counted(spark):
+    n = 2 * graph.CHUNK + 3
+    rows = spark.createDataFrame([(1, [f"t{i:04d}" for i in range(n)]), (2, ["t0000", f"t{n - 1:04d}"]), (3, ["t0001"])], "row_id int, terms array<string>")
+    got = graph.co_occurrence(rows)
+    assert got.count() == n * (n - 1) // 2
+    assert [tuple(r) for r in got.where("co > 1").collect()] == [("t0000", f"t{n - 1:04d}", 2)]
+    assert got.where("a >= b").count() == 0
