@@ -7,15 +7,16 @@
 2. Each text is drawn by improved consistent weighted sampling from its shingles, weighted by count
    times inverse document frequency. Draws are banded; texts that agree in a band are candidates.
 3. Candidates of a band bucket are compared with the bucket's hub (the member with most company over
-   all its bands), never with each other. Those that are not like their hub choose another hub
-   among themselves, as long as that finds links.
+   all its bands). A bucket whose members are not one class by then stays open: members of different
+   classes meet in slots of growing width, at last all of them, so that no pair is left undecided.
+   An exact prefix filter over weighted shingles drops pairs that cannot reach the threshold.
 4. A link needs a weighted Jaccard similarity of at least the threshold, computed from whole texts.
    Classes are the connected components of the links.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ BANDS = 12
 ROWS = 4  # a pair at 0.8 is missed in 1 of 550 cases, at 0.9 in 1 of 90,000
 GROUP_BYTES = 8 << 20  # of text in one task's hands
 HASH_BITS = 56
+WIDTH, WIDEN = 4, 16  # members of a slot of an open bucket at first, and its growth a round
 CODES = 255  # levels of inverse document frequency
 
 
@@ -244,34 +246,83 @@ def verified(pairs: DataFrame, pool: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(_compare, "doc_id long, hub long, similarity double").filter(F.col("similarity") >= threshold)
 
 
+def _marks(threshold: float):
+    """(doc_id, total, prefix) of texts: total weight, and 32 bits of the shingles of the prefix.
+
+    Shingles stand rarest first. Two texts whose prefixes share none have all their common weight in
+    one text's rest, which is less than ``threshold`` of its total: they cannot be a link.
+    """
+    def run(batches):
+        for batch in batches:
+            words, totals, prefixes = batch.column("words").cast(pa.string()), [], []
+            for i, code in enumerate(batch.column("codes")):
+                h, w = _weighted_set(words.slice(i, 1), code.as_py())
+                order = np.lexsort((h, -np.frombuffer(code.as_py(), np.uint8).astype(np.int16)))
+                rest = w.sum() - np.cumsum(w[order])
+                k = int(np.argmax(rest < (threshold - 1e-9) * w.sum())) + 1 if threshold > 1e-9 else len(h)
+                totals.append(float(w.sum()))
+                prefixes.append(np.unique(h[order[:k]].astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(totals, pa.float64()), pa.array(prefixes, pa.list_(pa.int32()))], names=["doc_id", "total", "prefix"])
+
+    return run
+
+
+def _open_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """(band, key, doc_id, root, main, n): buckets whose members links do not join into one class.
+
+    ``main`` is the class with most members in the bucket, ``n`` the number of all members.
+    """
+    roots = components(links.select(F.col("doc_id").alias("u"), F.col("hub").alias("v")))
+    placed = cut(buckets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
+    counts = placed.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    parted = counts.groupBy("band", "key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    return cut(placed.join(parted.filter("parts > 1").drop("parts"), ["band", "key"]))
+
+
+def _open_pairs(members: DataFrame, marks: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(doc_id, hub): pairs of an open bucket from different classes that can reach the threshold.
+
+    A bucket is dealt into slots of about ``width`` members; up to ``width`` members it is one slot
+    and gives all its pairs. Members of the main class never meet each other.
+    """
+    slots = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.col("n") / F.lit(width))), F.lit(0))).cast("long")
+    dealt = cut(members.withColumn("slot", F.pmod(F.xxhash64("doc_id"), slots)).join(marks, "doc_id"))
+    side = lambda t, x: t.select("band", "key", "slot", *(F.col(c).alias(c + x) for c in ("doc_id", "root", "total", "prefix")))
+    both = side(dealt.filter("root <> main"), "_a").join(side(dealt, "_b"), ["band", "key", "slot"])
+    near = F.least("total_a", "total_b") >= (threshold - 1e-9) * F.greatest("total_a", "total_b")
+    kept = both.filter((F.col("root_a") != F.col("root_b")) & near & F.arrays_overlap("prefix_a", "prefix_b"))
+    return kept.select(F.greatest("doc_id_a", "doc_id_b").alias("doc_id"), F.least("doc_id_a", "doc_id_b").alias("hub")).distinct()
+
+
 def near_links(texts: DataFrame, heads: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (doc_id, hub, similarity) among the ``heads`` (doc_id, same) of ``texts``."""
+    """Verified links (doc_id, hub, similarity) among the ``heads`` (doc_id, same) of ``texts``.
+
+    No pair of a bucket stays undecided: its members are joined by links, compared, or too unlike
+    by their prefixes.
+    """
     banded = texts.filter("bands IS NOT NULL").select("doc_id", "same", "bands").join(heads, ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"])
     buckets = cut(banded.select("doc_id", F.posexplode("bands").alias("band", "key")))
     pairs = _hub_pairs(buckets)
     company = heads.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     # the texts of all candidates, gathered once for all rounds
     pool = cut(texts.select("doc_id", "same", "words", "codes").join(company, ["doc_id", "same"], "left_semi").drop("same").dropDuplicates(["doc_id"]))
-    found, tried = [], []
-    while True:
-        fresh = pairs.filter("doc_id <> hub").select("doc_id", "hub").distinct()
-        for old in tried:
-            fresh = fresh.join(old, ["doc_id", "hub"], "left_anti")
-        fresh = cut(fresh)
-        if fresh.isEmpty():
-            break
-        links = cut(verified(fresh, pool, threshold))
-        tried.append(fresh)
-        found.append(links)
-        if links.isEmpty():
-            break
-        # who is not like the hub of a bucket stays in it, together with the others like that
-        linked = reduce(DataFrame.unionByName, found).select("doc_id", "hub").distinct()
-        left = pairs.filter("doc_id <> hub").join(linked, ["doc_id", "hub"], "left_anti")
-        pairs = _hub_pairs(cut(left.select("doc_id", "band", "key")))
-    if not found:
-        return texts.sparkSession.createDataFrame([], "doc_id long, hub long, similarity double")
-    return reduce(DataFrame.unionByName, found)
+    shared = pairs.select("band", "key", "doc_id")
+    fresh = cut(pairs.filter("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("doc_id"), F.least("doc_id", "hub").alias("hub")).distinct())
+    links, tried, marks, width = cut(verified(fresh, pool, threshold)), fresh, None, WIDTH
+    while True:  # few comparisons join most of a dense bucket; what is left meets in wider slots, at last all
+        members = _open_buckets(shared, links)
+        widest = members.agg(F.max("n").alias("n")).first()["n"]
+        if widest is None:
+            return links
+        if marks is None:  # open buckets only become fewer
+            marks = cut(pool.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_marks(threshold), "doc_id long, total double, prefix array<int>"))
+        fresh = cut(_open_pairs(members, marks, width, threshold).join(tried, ["doc_id", "hub"], "left_anti"))
+        if not fresh.isEmpty():
+            links = cut(links.unionByName(verified(fresh, pool, threshold)))
+            tried = tried.unionByName(fresh)
+        if widest <= width:
+            return links
+        width *= WIDEN
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:

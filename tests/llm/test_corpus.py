@@ -84,6 +84,30 @@ def test_near_duplicates_find_all_similar_pairs(spark):
                 assert cls[a] == cls[b]
 
 
+def _linked(spark, words, bands):
+    """Classes of texts that are given as words, with the buckets they stand in."""
+    rows = []
+    for d, w in words.items():
+        n = len({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+        rows.append((d, str(d), " ".join(w), bytes([255]) * n, bands[d]))
+    texts = spark.createDataFrame(rows, "doc_id long, same string, words string, codes binary, bands array<long>")
+    return {(min(r["doc_id"], r["hub"]), max(r["doc_id"], r["hub"])) for r in minhash.near_links(texts, texts.select("doc_id", "same")).collect()}
+
+
+def test_near_links_leave_no_pair_of_a_bucket_undecided(spark):
+    a = [f"w{i}" for i in range(104)]
+    odd = lambda k, x: [f"{x}{i}" if i < k else w for i, w in enumerate(a)]
+    # the hub leads the bucket but is like nobody; the other two are alike
+    words = {1: odd(60, "h"), 2: a, 3: odd(5, "b"), 9: odd(104, "z")}
+    assert _linked(spark, words, {1: [1, 2], 2: [1, 3], 3: [1, 4], 9: [5, 2]}) == {(2, 3)}
+    # the hub is like 2, 2 is like 3, the hub is not like 3
+    words = {1: odd(9, "h"), 2: a, 3: a[:-9] + [f"b{i}" for i in range(9)], 9: odd(104, "z")}
+    assert _linked(spark, words, {1: [1, 2], 2: [1, 3], 3: [1, 4], 9: [5, 2]}) == {(1, 2), (2, 3)}
+    # one wide bucket: leaders without links, then a pair
+    words = {k: odd(104, f"x{k}_") for k in range(1, 40)} | {40: a, 41: odd(5, "b")}
+    assert _linked(spark, words, {k: [1, k] for k in words}) == {(40, 41)}
+
+
 def test_near_duplicates_odd_rows(odd_docs, no_docs):
     cls = {r["doc_id"]: (r["class_id"], r["kept"]) for r in minhash.near_duplicates(odd_docs, threshold=0.6).collect()}
     assert cls[2] == (1, False) and cls[6] == (1, False) and cls[3] == (1, False) and cls[4] == (4, True) and cls[5] == (4, False) and cls[8] == (8, True)
