@@ -28,9 +28,11 @@ IMPLIED = {
     "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
     "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
+# what may stand in a head; anything else ends it
+IN_HEAD = frozenset("base basefont bgsound head link meta noscript script style template title".split())
 ENDS_P = BLOCKS - {"body", "html", "tr", "caption"}
 WALLS = frozenset("table td th caption button object html body".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|[^\s>]*+)|[^>=]++)*+)(?:>|$)|[^<]+|<", re.S)
 HIDES = re.compile(r"(?:^|[\s\"'])hidden(?:[\s=/]|$)|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'>]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)|aria-hidden\s*=\s*[\"']?true|type\s*=\s*[\"']?hidden", re.I)
 START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d+)", re.I)
 DEEPEST_TABLE = 40  # tables nested deeper are laid out as plain blocks
@@ -55,9 +57,12 @@ def parse(source: str) -> Node:
         close, opened = m.group(1), m.group(2)
         if opened:
             tag, attrs = opened.lower(), m.group(3)
+            _leave_head(stack, tag)
             rule = IMPLIED.get(tag)
             if rule:
                 _close_implied(stack, *rule)
+            if tag in ("td", "th", "tr"):
+                _open_implied(stack, tag)
             if tag in ENDS_P:
                 _close_implied(stack, {"p"}, WALLS)
             node = Node(tag, attrs)
@@ -77,12 +82,29 @@ def parse(source: str) -> Node:
                 if stack[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break
         elif m.group(0)[:2] not in ("<!", "<?"):
+            if m.group(0).strip():
+                _leave_head(stack, "")
             stack[-1].children.append(html.unescape(m.group(0)))
         elif m.group(0).startswith("<![CDATA["):
             stack[-1].children.append(m.group(0)[9:].removesuffix("]]>"))
     return root
 
 
+def _leave_head(stack: list[Node], tag: str) -> None:
+    """Anything that cannot stand in the head ends it; a template keeps its content."""
+    if tag not in IN_HEAD and stack[-1].tag == "head":
+        stack.pop()
+
+
+def _open_implied(stack: list[Node], tag: str) -> None:
+    """Open the group and the row that a row or a cell directly in a table or group leaves out."""
+    for outer, missing in (({"table"}, "tbody"), ({"tbody", "thead", "tfoot"}, "tr")):
+        if stack[-1].tag in outer and missing != tag:
+            node = Node(missing)
+            stack[-1].children.append(node)
+            stack.append(node)
+
+
 def _close_implied(stack: list[Node], ends, walls) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag in walls:

@@ -285,6 +285,15 @@ def test_html(source, want):
     assert html_text.visible_text(source) == want
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<html><head><title>t</title><p>All the text<p>more", "All the text\n\nmore"), ("<head><meta charset=x>Bare text", "Bare text"), ("<head><script>x</script><style>y</style></head><p>z", "z"),
+    ("<table><td>A</td></table>", "A"), ("<table><tr><td>A</tr><td>B<tr><td>C</table>", "A\nB\nC"), ("<table><tbody><td>A<td>B</table>", "A  B"),
+    ("<a title=Bob's>link</a> text <b>it's</b> end", "link text it's end"), ("<a title=\"x > y\" href='z>'>link</a>", "link"), ("<a title = 'x>y' b=c'd>e</a>", "e"), ("<a href=/x?q='z>link</a> it's", "link it's"),
+])
+def test_html_implied_tags_and_quotes(source, want):
+    assert html_text.visible_text(source) == want
+
+
 def test_html_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x"), (None, None, None), (1, "u", "<p>x")], "page_id long, url string, html string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_lines"]) for r in html_text.extract(pages).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]
