@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math canvas audio video datalist select textarea title".split())
+HIDDEN = frozenset("head script style template noscript iframe object canvas audio video datalist select title".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
 # blocks with a blank line around them, and blocks that only break the line
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset form".split())
@@ -33,7 +33,9 @@ IN_HEAD = frozenset("base basefont bgsound head link meta noscript script style
 ENDS_P = BLOCKS - {"body", "html", "tr", "caption"}
 WALLS = frozenset("table td th caption button object html body".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|[^\s>]*+)|[^>=]++)*+)(?:>|$)|[^<]+|<", re.S)
-HIDES = re.compile(r"(?:^|[\s\"'])hidden(?:[\s=/]|$)|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'>]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)|aria-hidden\s*=\s*[\"']?true|type\s*=\s*[\"']?hidden", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
+HIDES = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+UNSHOWN = frozenset("desc metadata defs annotation annotation-xml".split())  # of drawings and formulas
 START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d+)", re.I)
 DEEPEST_TABLE = 40  # tables nested deeper are laid out as plain blocks
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -65,11 +67,12 @@ def parse(source: str) -> Node:
                 _open_implied(stack, tag)
             if tag in ENDS_P:
                 _close_implied(stack, {"p"}, WALLS)
-            node = Node(tag, attrs)
+            node = Node(tag, "hidden" if tag in UNSHOWN and any(n.tag in ("svg", "math") for n in stack) else attrs)
             stack[-1].children.append(node)
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
-                node.children.append(source[at : end.start() if end else len(source)])
+                inner = source[at : end.start() if end else len(source)]
+                node.children.append(html.unescape(inner).removeprefix("\n") if tag == "textarea" else inner)
                 at = end.end() if end else len(source)
             elif tag not in VOID and not attrs.rstrip().endswith("/"):
                 stack.append(node)
@@ -166,7 +169,18 @@ def _width(s: str) -> int:
 
 
 def _visible(node: Node) -> bool:
-    return node.tag not in HIDDEN and not (node.attrs and HIDES.search(node.attrs))
+    return node.tag not in HIDDEN and not (node.attrs and _hides(node.attrs))
+
+
+def _hides(attrs: str) -> bool:
+    """By the attribute ``hidden`` or by style; of attributes of one name the first counts."""
+    low = attrs.lower()
+    if "hidden" not in low and "style" not in low:
+        return False
+    given = {}
+    for m in ATTRIBUTE.finditer(low):
+        given.setdefault(m.group(1), m.group(2) or m.group(3) or m.group(4) or "")
+    return "hidden" in given or bool(HIDES.search(html.unescape(given.get("style", ""))))
 
 
 def _rows(table: Node):
@@ -251,7 +265,7 @@ def _element(page: _Page, top: Node, pre: bool, depth: int) -> None:
             saved = (page.indent, page.mark)
             if tag in ("blockquote", "dd"):
                 page.indent += "  "
-        pre = pre or tag in ("pre", "listing")
+        pre = pre or tag in ("pre", "listing", "textarea")
         if tag in BLOCKS:
             work.append(("close", node, pre, inner, saved))
         elif tag in ("td", "th"):

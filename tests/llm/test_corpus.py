@@ -294,6 +294,15 @@ def test_html_implied_tags_and_quotes(source, want):
     assert html_text.visible_text(source) == want
 
 
+@pytest.mark.parametrize("source, want", [
+    ('<p title="the hidden valley">a', "a"), ('<div class="hidden md:block">b</div>', "b"), ("<p alt='a hidden gem' data-hidden=1>c", "c"), ("<i aria-hidden=true>d</i>", "d"),
+    ("<textarea>e &amp; f</textarea>", "e & f"), ("<svg><title>no</title><text>g</text></svg>", "g"), ("<math><mi>x</mi><annotation>no</annotation></math>", "x"),
+    ("<p HIDDEN>no</p><p a=1 hidden=''>no</p><p style=\"color:red; display : none\">no</p><p style=visibility:hidden>no</p>h", "h"), ('<p title="style=display:none">i', "i"),
+])
+def test_html_hidden_by_attribute_only(source, want):
+    assert html_text.visible_text(source) == want
+
+
 def test_html_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x"), (None, None, None), (1, "u", "<p>x")], "page_id long, url string, html string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_lines"]) for r in html_text.extract(pages).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]
