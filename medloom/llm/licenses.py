@@ -150,6 +150,26 @@ def with_share(lines: DataFrame, family: Column | None = None) -> DataFrame:
     return held.withColumn("share", F.coalesce(F.element_at(shares, 1), F.lit(0.0))).drop("given")
 
 
+def _wrapped(low: Column, telling: Column) -> Column:
+    """Runs of several lines up to a line without words, where they hold enough of some notice.
+
+    The words of a notice that is broken over lines stand in no single line. Marks of comments are
+    no words, those made of letters are taken off. The share asked for is the one that confirms, so
+    none that could be confirmed is left out.
+    """
+    known = F.array_distinct(F.flatten(F.transform(_templates(), lambda t: t["grams"])))
+    best = lambda g: F.array_max(F.transform(_templates(), lambda t: F.size(F.array_intersect(t["grams"], g)) / F.size(t["grams"])))
+
+    def share(block: Column) -> Column:
+        held = F.transform(F.array(tokens(block)), lambda w: F.array_intersect(known, F.concat(_runs(w, 2), _runs(w, 3))))
+        return F.coalesce(F.element_at(F.transform(held, lambda g: F.when(F.size(g) > 0, best(g))), 1), F.lit(0.0))
+
+    blocks = F.split(F.regexp_replace(low, "\r\n?", "\n"), r"\n[^\p{L}\p{M}\p{N}]*\n")
+    several = F.filter(blocks, lambda b: b.contains("\n") & F.regexp_like(b, telling))
+    bare = F.transform(several, lambda b: F.regexp_replace(b, r"(?m)^[^\p{L}\p{M}\p{N}\n]*(?:rem|dnl|c)(?=[ \t]|$)", " "))
+    return F.filter(bare, lambda b: share(b) >= CONFIRMED)
+
+
 def fit(lines: DataFrame, negatives: int = NEGATIVES):
     """Fitted stages, family names in label order, and the temperature, from notices and ``lines``.
 
@@ -189,8 +209,8 @@ def classify(lines: DataFrame, fitted) -> DataFrame:
 def license_scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     """doc_id, family, probability, confirmed, families, n_paragraphs: one row per row.
 
-    A paragraph is a line. ``n_paragraphs`` counts those with a telling word, ``families`` lists the
-    confirmed families in order, ``family`` is that of the most probable confirmed paragraph, or
+    A paragraph is a line, or the lines up to one without words. ``n_paragraphs`` counts the lines
+    with a telling word, ``families`` lists the confirmed families of lines and runs in order, ``family`` is that of the most probable confirmed paragraph, or
     unknown. Null and empty texts have no paragraphs. Repeated rows repeat. Equal paragraphs are
     scored once, however many documents hold them.
     """
@@ -198,9 +218,10 @@ def license_scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     low = F.lower(text_of())
     held = F.filter(F.split(low, "[\n\r]+"), lambda line: F.regexp_like(line, F.lit(telling)))
     none = F.array().cast("array<string>")
-    rows = docs.select(F.col("doc_id"), F.when(F.regexp_like(low, F.lit(telling)), held).otherwise(none).alias("lines"))
-    rows = cut(rows.withColumn("row", F.xxhash64("doc_id", "lines")))
-    each = rows.filter(F.size("lines") > 0).select("row", F.explode("lines").alias("line"))
+    told = F.regexp_like(low, F.lit(telling))
+    rows = docs.select(F.col("doc_id"), F.when(told, held).otherwise(none).alias("lines"), F.when(told, _wrapped(low, F.lit(telling))).otherwise(none).alias("runs"))
+    rows = cut(rows.withColumn("row", F.xxhash64("doc_id", "lines", "runs")))
+    each = rows.filter(F.size("lines") > 0).select("row", F.explode(F.concat("lines", "runs")).alias("line"))
     lines = cut(each.select("line").distinct())
     scored = classify(lines, fit(lines, negatives)).filter("confirmed")
     hits = each.distinct().join(scored, "line")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -249,6 +250,17 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.license_scan(no_docs).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark):
+    fold = lambda family, k, mark, end="\n": end.join(mark + x for x in textwrap.wrap(licenses.NOTICES[family][k], 40))
+    texts = [
+        "/*\n * Copyright 2024 The Authors\n *\n" + fold("gpl-3.0", 2, " * ") + "\n *\n * See the file.\n */\nint x;", fold("mit", 3, "# "), fold("bsd", 3, "REM ", "\r\n"),
+        "A program for\nthe general public,\nas published by\nthe foundation.", fold("mit", 3, "") + "\n\n" + fold("apache-2.0", 4, "// "),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["families"] for r in licenses.license_scan(docs).collect()}
+    assert rows == {0: ["gpl-3.0"], 1: ["mit"], 2: ["bsd"], 3: [], 4: ["apache-2.0", "mit"]}
+
+
 def test_quality_held_out_accuracy(spark, odd_docs, no_docs):
     sf = "/root/testdata/sf0.01"
     labels = table(spark, sf, "labels")
