@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from medloom.plans.base import table
 
-from . import decontaminate, exact_dedup, html_text, licenses, minhash, mixing, packing, pii, quality, secrets
+from . import decontaminate, exact_dedup, hard_negatives, html_text, importance, licenses, minhash, mixing, packing, pii, quality, secrets, simhash
 
 
 def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,21 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), relabel=(7, 1, 10))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_packing, op2_minhash_dedup, op3_decontamination, op4_source_mixing, op5_secret_scan,
     op6_license_scan, op7_quality_classifier, op8_html_extraction, op9_exact_dedup, op10_pii_pseudonyms,
+    op11_simhash_dedup, op12_importance_resampling, op13_hard_negatives,
 )}
