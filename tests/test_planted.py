@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from medloom.operators import association, bayes, graph, learning, quality, questionnaires, risk, scoring, selection, skew, warehouse
+from medloom.operators import association, bayes, consensus, graph, learning, quality, questionnaires, risk, scoring, selection, skew, warehouse
 from medloom.operators.quantiles import order_statistic
 from medloom.sources import readers, sinks
 from medloom.sources.registry import Source, load_registry
@@ -57,7 +57,7 @@ def test_npmi_bounds(spark):
 def test_consensus_recovers_planted_groups(spark):
     cells = spark.createDataFrame(fixtures.planted_docs(), "row_id int, term string")
     rows = graph.profiles(cells)
-    result = graph.consensus_clusters(rows, (1.0,), reps=4)
+    result = consensus.consensus_clusters(rows, (1.0,), reps=10)
     labels = graph.numbered(result["clusters"], "node", "cluster")
     truth = labels.select(F.col("cluster_id").alias("x"), F.substring("term", 1, 2).alias("y"))
     assert labels.count() == 24 and graph.adjusted_rand(truth).first()["ari"] == pytest.approx(1.0)
@@ -70,7 +70,7 @@ def test_average_linkage_is_not_single_linkage(spark):
     # b-c is a bridge: the mean share of {a,b} and {c,d} is below the cut.
     nodes = spark.createDataFrame([(0, n) for n in "abcd"], "g int, node string")
     shares = spark.createDataFrame([(0, "a", "b", 0.9), (0, "c", "d", 0.9), (0, "b", "c", 0.6)], "g int, a string, b string, share double")
-    got = {r["node"]: r["cluster"] for r in graph.average_linkage(nodes, shares, ["g"]).collect()}
+    got = {r["node"]: r["cluster"] for r in consensus.average_linkage(nodes, shares, ["g"]).collect()}
     assert got["a"] == got["b"] and got["c"] == got["d"] and got["a"] != got["c"]
 
 
