@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+import math
+
+import numpy as np
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import draws
 from ..functions.stats import benjamini_hochberg, chi2_tail, normal_two_sided
+from ..session import cut_lineage
+from .many_fits import fit_binary
 from .quality import contingency
 from .selection import fold_of
 from .skew import dense_index
@@ -74,8 +78,6 @@ def cumulative(df: DataFrame, group: list[str], order: str, columns: list[str])
     Range-partitioned: each task adds up its own stretch and a table of one row per task and group
     carries the sums over, so a group may span any number of tasks.
     """
-    from ..session import cut_lineage
-
     parts = cut_lineage(df.orderBy(*group, order).withColumn("_p", F.spark_partition_id()))
     inner = W.partitionBy(*group, "_p").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     local = parts.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_in_{c}") for c in columns])
@@ -135,50 +137,49 @@ def design(df: DataFrame, categorical: list[str], numeric: list[str], outcome: s
     return known.select(F.col(outcome).cast("double").alias("label"), *out), groups
 
 
-def _glm(x: DataFrame, columns: list[str]):
-    rows = VectorAssembler(inputCols=[c for c in columns], outputCol="_x", handleInvalid="skip").transform(x.toDF(*x.columns))
-    return GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="label", maxIter=50, tol=1e-9).fit(rows)
+def _standard(x: DataFrame, columns: list[str], extra: list[Column]) -> tuple[DataFrame, np.ndarray]:
+    """(x, y, w) rows without nulls, columns scaled to mean 0 and deviation 1 behind a constant; the deviations."""
+    clean = x.where(F.col("label").isNotNull()).dropna(subset=[f"`{c}`" for c in columns])
+    facts = clean.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    scale = np.array([facts[f"s{i}"] or 1.0 for i in range(len(columns))])
+    scaled = [(F.col(f"`{c}`") - F.lit(facts[f"m{i}"] or 0.0)) / F.lit(float(scale[i])) for i, c in enumerate(columns)]
+    rows = clean.select(F.array(F.lit(1.0), *scaled).alias("x"), F.col("label").cast("double").alias("y"), F.array(*extra).alias("w"))
+    return cut_lineage(rows), scale
 
 
 def adjusted_effects(x: DataFrame, groups: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
-    """(term, odds_ratio, ci_low, ci_high, p_value) and (variable, lrt_p): drop-one tests by deviance."""
-    safe = {c: f"c{i}" for i, c in enumerate(x.columns) if c != "label"}
-    named = x.select("label", *[F.col(f"`{c}`").alias(s) for c, s in safe.items()]).cache()
-    spark = x.sparkSession
+    """(term, odds_ratio, ci_low, ci_high, p_value) and (variable, stat, dof, lrt_p): drop-one likelihood-ratio tests.
+
+    The full model and the models without one variable are fitted together, a pass over the rows per step.
+    """
     columns = [c for cols in groups.values() for c in cols]
-    full = _glm(named, [safe[c] for c in columns])
-    summary = full.summary
-    errors, pvalues = summary.coefficientStandardErrors, summary.pValues
-    import math
-
-    terms = [(c, math.exp(b), math.exp(b - 1.959963984540054 * e), math.exp(b + 1.959963984540054 * e), float(p))
-             for c, b, e, p in zip(columns, full.coefficients.toArray().tolist(), errors, pvalues)]
-    tests = []
-    for variable, cols in groups.items():
-        rest = [safe[c] for c in columns if c not in cols]
-        deviance = _glm(named, rest).summary.deviance if rest else summary.nullDeviance
-        tests.append((variable, float(deviance - summary.deviance), float(len(cols))))
+    rows, scale = _standard(x, columns, [F.lit(1.0)])
+    used = np.ones((1 + len(groups), 1 + len(columns)), bool)
+    for i, cols in enumerate(groups.values()):
+        used[i + 1, [1 + columns.index(c) for c in cols]] = False
+    fit = fit_binary(rows, used, [0] * len(used))
+    error = np.sqrt(np.diag(np.linalg.pinv(fit["hessian"][0])))[1:] / scale
+    terms = [(c, math.exp(b), math.exp(b - 1.959963984540054 * e), math.exp(b + 1.959963984540054 * e), math.erfc(abs(b / e) / math.sqrt(2)))
+             for c, b, e in zip(columns, (fit["beta"][0][1:] / scale).tolist(), error.tolist())]
+    tests = [(v, 2 * float(fit["loss"][i + 1] - fit["loss"][0]), float(len(cols))) for i, (v, cols) in enumerate(groups.items())]
+    spark = x.sparkSession
     lrt = spark.createDataFrame(tests, "variable string, stat double, dof double")
     return (spark.createDataFrame(terms, "term string, odds_ratio double, ci_low double, ci_high double, p_value double"),
-            lrt.select("variable", chi2_tail("stat", "dof").alias("lrt_p")))
+            lrt.select("variable", "stat", "dof", chi2_tail(F.greatest("stat", F.lit(0.0)), F.col("dof")).alias("lrt_p")))
 
 
 def stability_selection(x: DataFrame, groups: dict[str, list[str]], row_key: list[str], reps: int = 100, c: float = 0.05, seed: int = 42) -> DataFrame:
-    """(variable, stability): share of half-samples in which an L1 model keeps the variable."""
+    """(variable, stability): share of half-samples in which an L1 model keeps the variable.
+
+    All half-samples are fitted together. Key columns among the design are not used as variables.
+    """
     columns = [col for cols in groups.values() for col in cols]
-    safe = {col: f"c{i}" for i, col in enumerate(columns)}
-    flat = x.select("label", *[F.col(f"`{k}`").alias(v) for k, v in safe.items()], F.xxhash64(*[F.col(f"`{k}`") for k in row_key]).alias("_key"))
-    assembled = VectorAssembler(inputCols=list(safe.values()), outputCol="_raw", handleInvalid="skip").transform(flat)
-    scaled = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(assembled).transform(assembled).select("label", "_x", "_key").cache()
-    half = scaled.count() / 2
-    hits = dict.fromkeys(groups, 0)
-    for r in range(reps):
-        sample = scaled.where(draws.uniform(seed, F.lit(r), F.col("_key")) < 0.5)
-        model = LogisticRegression(featuresCol="_x", labelCol="label", elasticNetParam=1.0, regParam=1.0 / (c * half), standardization=False, maxIter=50).fit(sample)
-        coef = dict(zip(columns, model.coefficients.toArray().tolist()))
-        for v, cols in groups.items():
-            hits[v] += any(abs(coef[k]) > 1e-8 for k in cols)
-    return x.sparkSession.createDataFrame([(v, h / reps) for v, h in hits.items()], "variable string, stability double")
+    key = F.xxhash64(*[F.col(f"`{k}`") for k in row_key])
+    rows, _ = _standard(x, columns, [(draws.uniform(seed, F.lit(r), key) < 0.5).cast("double") for r in range(reps)])
+    fit = fit_binary(rows, np.ones((reps, 1 + len(columns)), bool), range(reps), l1=1.0 / c, tolerance=1e-7)
+    kept = np.abs(fit["beta"][:, 1:]) > 1e-8
+    share = [(v, float(kept[:, [columns.index(col) for col in cols]].any(1).mean())) for v, cols in groups.items()]
+    return x.sparkSession.createDataFrame(share, "variable string, stability double")
 
 
 def permutation_importance(df: DataFrame, categorical: list[str], numeric: list[str], outcome: str, row_id: str, folds: int = 5, repeats: int = 10,

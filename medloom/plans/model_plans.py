@@ -111,10 +111,20 @@ def compare_strategies(spark, sf):
     return sel.compare_strategies(order_cells(spark, sf), order_labels(spark, sf), clusters, (5,), folds=2)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxy"
+
+
+def letter_items(spark, sf):
+    """25 items a document: how often each letter occurs in its whole text, in five levels; the label is its language."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    share = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    level = lambda c: F.least(F.floor(share(c) * 50 / F.greatest(F.length(text), F.lit(1))), F.lit(4)).cast("int")
+    return table(spark, sf, "documents").select("doc_id", "lang", *[level(c).alias(f"item_{c}") for c in LETTERS])
+
+
 @query("questionnaire_curve")
 def questionnaire_curve(spark, sf):
-    rows = table(spark, sf, "lineitem").withColumn("_id", F.xxhash64("l_orderkey", "l_partkey", "l_linenumber"))
-    return sel.reduce_questionnaire(rows, ["l_linestatus", "l_linenumber"], "l_returnflag", "_id", folds=2, max_iter=5)
+    return sel.reduce_questionnaire(letter_items(spark, sf), [f"item_{c}" for c in LETTERS], "lang", "doc_id")
 
 
 # --- association ------------------------------------------------------------------------------------
@@ -168,10 +178,16 @@ def adjusted_effects(spark, sf):
     return a.adjusted_effects(x, groups)[0]
 
 
+@query("likelihood_ratio")
+def likelihood_ratio(spark, sf):
+    x, groups = a.design(s.cohort(spark, sf), ["segment", "priority"], ["age", "c_acctbal", "o_totalprice"], "outcome")
+    return a.adjusted_effects(x, groups)[1]
+
+
 @query("stability_selection")
 def stability_selection(spark, sf):
     x, groups = a.design(s.cohort(spark, sf), ["segment"], ["age", "c_acctbal", "o_totalprice", "record_id"], "outcome")
-    return a.stability_selection(x, {k: v for k, v in groups.items() if k != "record_id"}, ["record_id"], reps=3)
+    return a.stability_selection(x, {k: v for k, v in groups.items() if k != "record_id"}, ["record_id"])
 
 
 @query("permutation_importance")

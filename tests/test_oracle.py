@@ -8,8 +8,8 @@ from conftest import SF_DIR
 
 from medloom.plans import catalog
 
-SLOW = {"questionnaire_curve", "consensus_clusters", "communities", "compare_strategies", "risk_train", "permutation_importance",
-        "txt_similarity_merge", "learning_gate", "assess_full", "stability_selection", "dq_audit"}
+SLOW = {"questionnaire_curve", "consensus_clusters", "compare_strategies", "risk_train", "permutation_importance",
+        "txt_similarity_merge", "learning_gate", "assess_full", "dq_audit"}
 
 
 @pytest.fixture(scope="session")
