@@ -195,6 +195,32 @@ def permutation_importance(spark, sf):
     return a.permutation_importance(s.cohort(spark, sf), ["segment"], ["age"], "outcome", "record_id", folds=2, repeats=1, max_iter=5)
 
 
+EVIDENCE = """ev AS (SELECT c_nationkey AS variable, count(*) AS n, count(*) FILTER (WHERE c_acctbal < 2000) AS poor, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS built FROM customer GROUP BY 1),
+given AS (SELECT variable, round((n % 13) / 13.0 + 0.001, 6)::DOUBLE AS q_value, round((poor % 7) / 70.0 + 0.0001, 6)::DOUBLE AS lrt_p, round((built % 5) / 4.0, 6)::DOUBLE AS stability, round(((n + poor) % 9) / 9.0 - 0.3, 6)::DOUBLE AS perm_auc_drop,
+  round(((n + poor) % 9) / 9.0 - 0.5, 6)::DOUBLE AS perm_ci_low FROM ev)"""
+
+
+@query("evidence_table", f"""
+WITH {EVIDENCE}, o AS (SELECT *, row_number() OVER (ORDER BY lrt_p, variable) AS rk, count(*) OVER () AS m FROM given),
+t AS (SELECT *, least(1.0, min(lrt_p * m / rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) AS lrt_q FROM o),
+v AS (SELECT *, (lrt_q < 0.05)::INT + (stability >= 0.6)::INT + (perm_ci_low > 0)::INT AS votes,
+  (rank() OVER (ORDER BY q_value) + (count(*) OVER (PARTITION BY q_value) - 1) / 2.0 + rank() OVER (ORDER BY lrt_p) + (count(*) OVER (PARTITION BY lrt_p) - 1) / 2.0
+  + rank() OVER (ORDER BY stability DESC) + (count(*) OVER (PARTITION BY stability) - 1) / 2.0 + rank() OVER (ORDER BY perm_auc_drop DESC) + (count(*) OVER (PARTITION BY perm_auc_drop) - 1) / 2.0) / 4 AS mean FROM t)
+SELECT variable, q_value, stability, perm_auc_drop, round(lrt_q, 6) AS lrt_q, votes AS evidence_votes, CASE votes WHEN 3 THEN 'confirmed' WHEN 2 THEN 'supported' ELSE 'not supported' END AS evidence_tier,
+  rank() OVER (ORDER BY round(mean, 9))::INT AS consensus_rank FROM v""")
+def evidence_table(spark, sf):
+    """Four lines of evidence per nation, each a table of its own, joined, voted on and ranked."""
+    n, poor, built = F.count(F.lit(1)), F.count_if(F.col("c_acctbal") < 2000), F.count_if(F.col("c_mktsegment") == "BUILDING")
+    ev = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("variable")).agg(n.alias("n"), poor.alias("poor"), built.alias("built"))
+    uni = ev.select("variable", F.round(F.col("n") % 13 / 13.0 + 0.001, 6).alias("q_value"))
+    lrt = ev.select("variable", F.round(F.col("poor") % 7 / 70.0 + 0.0001, 6).alias("lrt_p"))
+    stable = ev.select("variable", F.round(F.col("built") % 5 / 4.0, 6).alias("stability"))
+    part = (F.col("n") + F.col("poor")) % 9 / 9.0
+    drop = ev.select("variable", F.round(part - 0.3, 6).alias("perm_auc_drop"), F.round(part - 0.5, 6).alias("perm_ci_low"))
+    out = a.evidence_tiers(uni, lrt, stable, drop)
+    return out.select("variable", "q_value", "stability", "perm_auc_drop", F.round("lrt_q", 6).alias("lrt_q"), "evidence_votes", "evidence_tier", "consensus_rank")
+
+
 # --- scores --------------------------------------------------------------------------------------------
 def scores(spark, sf):
     """A score per order: the outcome is known, the score mixes price and customer."""

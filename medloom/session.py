@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,20 @@ def build_session(app: str = "medloom", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, so that their Python finds it from any folder; once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_medloom_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="medloom-src-"), "package"), "zip", os.path.dirname(home), os.path.basename(home))
+    sc.addPyFile(archive)  # the driver serves it; no executor reads the driver's folder
+    sc._medloom_shipped = True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -122,10 +122,44 @@ def content_id(tables: dict[str, DataFrame]) -> str:
     return hashlib.sha256("".join(sorted(digests)).encode()).hexdigest()[:12]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """File system and path of any store that Spark reaches."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def publish(tables: dict[str, DataFrame], root: str, previous: DataFrame | None = None) -> tuple[str, bool]:
-    """Write a snapshot; returns its id and whether an earlier benchmark still describes it."""
+    """Write a snapshot; returns its id and whether an earlier benchmark still describes it.
+
+    Each snapshot has a folder named by its content. The manifest, one small file that names the current
+    folder, is replaced when all tables are there, so readers see one whole snapshot or the other. An
+    existing snapshot is not written again; what an interrupted run left is overwritten.
+    """
+    spark = next(iter(tables.values())).sparkSession
     ident = content_id(tables)
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
+    files, done = _hadoop(spark, f"{root}/{ident}/_complete")
+    if not files.exists(done):
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{root}/{ident}/{name}")
+        files.create(done, True).close()
+    _, fresh = _hadoop(spark, f"{root}/_manifest.{ident}")
+    _, manifest = _hadoop(spark, f"{root}/_manifest")
+    out = files.create(fresh, True)
+    out.write(bytearray(ident.encode()))
+    out.close()
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(manifest.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fresh, manifest, options)
     same = previous is not None and previous.where(F.col("content_id") == ident).limit(1).count() == 1
     return ident, same
+
+
+def published(spark: SparkSession, root: str) -> str:
+    """Folder of the current snapshot under ``root``."""
+    files, manifest = _hadoop(spark, f"{root}/_manifest")
+    stream = files.open(manifest)
+    ident = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    return f"{root}/{ident}"
