@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.stats import benjamini_hochberg, hypergeometric_tail
 from ..functions.text import dosha_components
-from .quantiles import median
+from .quantiles import quantiles
 
 
 def overview(dimension: DataFrame, key: str, facts: list[tuple[DataFrame, list[Column]]], order: str) -> DataFrame:
@@ -126,7 +126,10 @@ def reference_row(df: DataFrame, categories: list[str], numbers: list[str]) -> D
         one = counts.agg(F.min_by(c, F.struct(-F.col("n"), F.col(c))).alias(c))
         modes = one if modes is None else modes.crossJoin(one)
     out = modes if modes is not None else df.sparkSession.range(1).select()
-    return out.select("*", *[F.lit(median(df, c)).alias(c) for c in numbers])
+    if not numbers:
+        return out
+    middles = quantiles(df, numbers, [0.5]).agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in numbers])
+    return out.crossJoin(middles)  # one row each
 
 
 def top_conditions(conditions: DataFrame, sizes: DataFrame, n: int = 10) -> DataFrame:

@@ -211,15 +211,31 @@ def test_cramers_v_of_identity(spark):
     assert association.chi_square_tests(df, ["x"], "y").first()["effect"] == pytest.approx(1.0, abs=0.02)
 
 
-def test_order_statistic_narrows_exactly(spark, monkeypatch):
+@pytest.mark.parametrize("few,width", [(10_000, 5e-4), (0, 5e-4), (0, 1e-9), (0, 0.2)])
+def test_order_statistics_are_exact_for_all_columns_and_groups_at_once(spark, monkeypatch, few, width):
     from medloom.operators import quantiles
 
-    monkeypatch.setattr(quantiles, "GATHER_ROWS", 50)
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "WIDTH", width)
     rng = np.random.default_rng(5)
-    values = np.concatenate([rng.random(4000), np.full(2000, 0.5)])
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    for rank in (0, 17, 2500, 3999, 5999):
-        assert order_statistic(df, "v", rank) == np.sort(values)[rank]
+    x, y, g = np.concatenate([rng.random(2000), np.full(1000, 0.5)]), np.exp(rng.normal(size=3000) * 9), rng.integers(0, 3, 3000)
+    rows = [(int(c), float(a), None if b < 1e-3 else float(b)) for a, b, c in zip(x, y, g)]
+    df = spark.createDataFrame(rows, "g int, x double, y double").repartition(4)
+    shares = [0.0, 0.1, 0.5, 0.999, 1.0]
+    got = {(r["g"], r["column"], r["i"]): r["value"] for r in quantiles.quantiles(df, ["x", "y"], shares, ["g"]).collect()}
+    for c in range(3):
+        for name, values in (("x", x[g == c]), ("y", y[(g == c) & (y >= 1e-3)])):
+            for i, q in enumerate(shares):
+                assert got[c, name, i] == pytest.approx(np.quantile(values, q), rel=1e-12)
+    assert len(got) == 30
+
+
+def test_order_statistics_of_single_ranks(spark):
+    from medloom.operators import quantiles
+
+    df = spark.createDataFrame([(3.0,), (1.0,), (None,), (2.0,)], "v double")
+    assert [order_statistic(df, "v", k) for k in (-1, 0, 1, 2, 3)] == [None, 1.0, 2.0, 3.0, None]
+    assert quantiles.quantile(df, "v", 0.25) == 1.5 and quantiles.quantile(df.where("v IS NULL"), "v", 0.5) is None
 
 
 def test_lookup_and_copies_survive_a_hot_key(spark, monkeypatch):
