@@ -6,13 +6,18 @@ The Arrow functions run on one row per test or per cell, never on data rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+HALF_LOG_TAU = 0.5 * math.log(2 * math.pi)
+TERMS = 4096  # terms of a tail in one step
+
 
 def _upper_gamma(a: float, x: float) -> float:
     """Regularised upper incomplete gamma Q(a, x)."""
@@ -55,22 +60,66 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0))).astype("float64")
 
 
+def _stirling_rest(n: float) -> float:
+    """What Stirling's formula leaves out of log n!."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - HALF_LOG_TAU if n else 0.0
+    square = n * n
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / square) / square) / square) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, by its series where both are close."""
+    gap = x - mean
+    if abs(gap) >= 0.1 * (x + mean):
+        return (x * math.log(x / mean) if x else 0.0) + mean - x
+    v = gap / (x + mean)
+    total, factor, j = gap * v, 2 * x * v, 1
+    while True:
+        factor *= v * v
+        more = total + factor / (2 * j + 1)
+        if more == total:
+            return total
+        total, j = more, j + 1
+
+
+def _log_binomial(x: float, n: float, p: float) -> float:
+    """Log chance of ``x`` hits in ``n`` draws, without differences of large log factorials."""
+    if x == 0 or x == n:
+        return n * (math.log(p) if x else math.log1p(-p)) if n else 0.0
+    rest = _stirling_rest(n) - _stirling_rest(x) - _stirling_rest(n - x)
+    return rest - _deviance(x, n * p) - _deviance(n - x, n * (1 - p)) - HALF_LOG_TAU - 0.5 * math.log(x * (n - x) / n)
+
+
+def _away_from_mode(first: float, ratios: Callable[[np.ndarray], np.ndarray], steps: int) -> float:
+    """Sum of falling terms from ``first`` on, each a ratio of the last, until they stop counting."""
+    total, term, done = first, first, 0
+    while done < steps and term > total * 1e-18:
+        terms = term * np.cumprod(ratios(np.arange(done, min(done + TERMS, steps), dtype="float64")))
+        total, term, done = total + float(terms.sum()), float(terms[-1]), done + TERMS
+    return total
+
+
+def _overlap_tail(a: float, r: float, c: float, n: float) -> float:
+    low, top = max(0.0, r + c - n), min(r, c)
+    if a <= low or a > top:
+        return 1.0 if a <= low else 0.0
+    if c == n:
+        return 1.0
+    p = c / n
+    at = lambda k: math.exp(_log_binomial(k, r, p) + _log_binomial(c - k, n - r, p) - _log_binomial(c, n, p))
+    if a > (r + 1) * (c + 1) / (n + 2):  # past the mode terms fall upwards, before it downwards
+        up = lambda i: (r - a - i) * (c - a - i) / ((a + i + 1) * (n - r - c + a + i + 1))
+        return min(1.0, _away_from_mode(at(a), up, int(top - a)))
+    b = a - 1
+    down = lambda i: (b - i) * (n - r - c + b - i) / ((r - b + i + 1) * (c - b + i + 1))
+    return max(0.0, 1.0 - _away_from_mode(at(b), down, int(b - low)))
+
+
 @F.pandas_udf(T.DoubleType())
 def hypergeometric_tail(a: pd.Series, row: pd.Series, col: pd.Series, total: pd.Series) -> pd.Series:
     """P(X >= a) with X the overlap of ``row`` and ``col`` picks out of ``total``."""
-
-    def one(a, r, c, n):
-        lf = math.lgamma
-        base = lf(r + 1) + lf(n - r + 1) + lf(c + 1) + lf(n - c + 1) - lf(n + 1)
-        top = min(r, c)
-        p = 0.0
-        for k in range(int(a), int(top) + 1):
-            if n - r - c + k < 0:
-                continue
-            p += math.exp(base - lf(k + 1) - lf(r - k + 1) - lf(c - k + 1) - lf(n - r - c + k + 1))
-        return min(1.0, p)
-
-    return pd.Series([one(*v) for v in zip(a, row, col, total)], dtype="float64")
+    return pd.Series([_overlap_tail(*map(float, v)) for v in zip(a, row, col, total)], dtype="float64")
 
 
 def entropy_term(p: Column) -> Column:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from .registry import Registry
 
@@ -16,9 +23,74 @@ DISORDER = (
 )
 
 
-def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, bytes, sha256), one task per file; a file must fit Spark's binary limit of 2 GB."""
-    return spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+WHOLE_BYTES = 1 << 30  # Spark reads a binary file as one value, which ends at 2 GB
+CHUNK_BYTES = 1 << 23
+
+
+class DigestFile(InputPartition):
+    def __init__(self, path: str, size: int):
+        self.path, self.size = path, size
+
+
+class DigestReader(DataSourceReader):
+    """One task per file; a task holds one chunk of it."""
+
+    def __init__(self, files: list[tuple[str, int]], chunk: int):
+        self.files, self.chunk = files, chunk
+
+    def partitions(self) -> list[DigestFile]:
+        return [DigestFile(path, size) for path, size in self.files]
+
+    def read(self, partition: DigestFile) -> Iterator[tuple[str, int, str]]:
+        from pyarrow import fs
+
+        if partition.path.startswith("file:"):
+            system, path = fs.LocalFileSystem(), "/" + partition.path.removeprefix("file:").lstrip("/")
+        else:
+            system, path = fs.FileSystem.from_uri(quote(partition.path, safe=":/@"))
+        digest, size = hashlib.sha256(), 0
+        with system.open_input_stream(path) as stream:
+            while block := stream.read(self.chunk):
+                digest.update(block)
+                size += len(block)
+        if size != partition.size:
+            raise OSError(f"{partition.path} changed while it was read: {size} of {partition.size} bytes")
+        yield partition.path, size, digest.hexdigest()
+
+
+class DigestSource(DataSource):
+    """Streams files through SHA-256 in their tasks; options ``files`` (JSON pairs of URI and size) and ``chunk``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_digests"
+
+    def schema(self) -> str:
+        return "path string, bytes bigint, sha256 string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return DigestReader([(p, int(n)) for p, n in json.loads(self.options["files"])], int(self.options["chunk"]))
+
+
+def file_digests(spark: SparkSession, paths: list[str], whole: int = WHOLE_BYTES, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """(path, bytes, sha256), one task per file and files of any size.
+
+    Files of up to ``whole`` bytes are read by Spark's own reader, so any file system it opens will
+    do. Larger ones, which it cannot hold as one value, stream chunk by chunk through the digest;
+    their file system must be one that pyarrow opens too. Listing reads no content. Spark's reader
+    makes no row of an empty file, so those are added by name. Names of files, not their bytes, pass
+    through the driver.
+    """
+    listed = spark.read.format("binaryFile").load(paths)
+    names = spark.createDataFrame([(unquote(p).replace("file:///", "file:/", 1),) for p in listed.inputFiles()], "path string")
+    empty = names.join(listed.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit(""), 256).alias("sha256"))
+    small = listed.where(F.col("length") <= whole).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = [[r["path"], r["length"]] for r in listed.where(F.col("length") > whole).select("path", "length").collect()]
+    if not large:
+        return small.unionByName(empty)
+    spark.dataSource.register(DigestSource)
+    streamed = spark.read.format("file_digests").option("files", json.dumps(large)).option("chunk", chunk).load()
+    return small.unionByName(streamed).unionByName(empty)
 
 
 def verify_checksums(spark: SparkSession, registry: Registry, data_dir: str) -> DataFrame:
