@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spans import once
+
 ROUNDS = 8  # even: the halves end in their places
 KEY = "pseudonym-key"
 
@@ -31,11 +33,6 @@ FOUND = f"(?:{EMAIL})|{NUMBERS}"
 KINDS = ("email", "address", "date", "social", "phone", "card")
 
 
-def once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
@@ -120,10 +117,18 @@ def permute_card(m: Column, key: str) -> Column:
     return refill(m, once(once(_digits(m), body), checked))
 
 
+# Fixed values of the public numbering plan: 1 and 7 are codes of one digit, these of two, all others have three.
+CALLING_CODES = r"(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
 def permute_phone(m: Column, key: str) -> Column:
-    """Country code kept; North American numbers stay valid, others keep their number of digits."""
-    code = F.coalesce(F.when(m.startswith("+"), F.regexp_extract(m, r"^\+(\d{1,3})(?!\d)", 1)), F.lit(""))
+    """Country code kept, the national number permuted in whatever way the number is written.
+
+    North American numbers stay valid, others keep their number of digits. Without a plus there is no
+    country code, but for eleven digits that begin with 1.
+    """
     whole = _digits(m)
+    code = F.when(m.startswith("+"), F.regexp_extract(whole, f"^{CALLING_CODES}", 0)).when(whole.rlike(r"^1\d{10}$"), "1").otherwise("")
 
     def moved(x: Column) -> Column:
         code, national = x["code"], F.substring(x["whole"], F.length(x["code"]) + 1, F.length(x["whole"]))
@@ -136,6 +141,20 @@ def permute_phone(m: Column, key: str) -> Column:
     return refill(m, once(F.struct(code.alias("code"), whole.alias("whole")), moved))
 
 
+def permute_social(m: Column, key: str) -> Column:
+    """Another valid number: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
+    area, group, serial = (F.split_part(m, F.lit("-"), F.lit(i)).cast("int") for i in (1, 2, 3))
+    place = area - 1 - F.when(area > 666, 1).otherwise(0)
+    pair = feistel(place, (group - 1) * 9_999 + serial - 1, F.lit(898), F.lit(99 * 9_999), key, "social")
+
+    def shown(out: Column) -> Column:
+        area = out["l"] + 1 + F.when(out["l"] >= 665, 1).otherwise(0)
+        parts = ((area, 3), (F.floor(out["r"] / 9_999) + 1, 2), (out["r"] % 9_999 + 1, 4))
+        return F.concat_ws("-", *(F.lpad(v.cast("string"), n, "0") for v, n in parts))
+
+    return once(pair, shown)
+
+
 def permute_address(m: Column, key: str) -> Column:
     o = [F.split_part(m, F.lit("."), F.lit(i)).cast("int") for i in (1, 2, 3, 4)]
     halves = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "address")
@@ -217,7 +236,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     dates = F.coalesce(*(F.when(_is(m, p), permute_date(m, f, key)) for p, f in DATES))
     return F.coalesce(
         F.when(kind == "email", permute_email(m, key)).when(kind == "address", permute_address(m, key)).when(kind == "date", dates)
-        .when(kind == "social", refill(m, permute_digits(_digits(m), key, "social"))).when(kind == "phone", permute_phone(m, key)).when(kind == "card", permute_card(m, key)), m)
+        .when(kind == "social", permute_social(m, key)).when(kind == "phone", permute_phone(m, key)).when(kind == "card", permute_card(m, key)), m)
 
 
 def _count(kinds: Column, kind: str) -> Column:
