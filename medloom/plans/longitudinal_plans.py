@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..operators import histories as hi
 from ..operators import longitudinal as lo
 from ..operators import privacy as pv
 from . import standins as s
@@ -346,3 +347,92 @@ def audit_rows(spark, sf):
     out = pv.audit_rows(s.consents(spark, sf), "user_id", F.when(F.col("granted"), "consent.grant").otherwise("consent.withdraw"),
                         F.lit("user"), F.col("user_id"), {"purpose": F.col("purpose")})
     return out.withColumn("details", F.concat(F.lit("purpose="), F.element_at("details", "purpose")))
+
+
+# --- histories -------------------------------------------------------------------------------------------
+ASSESSED = f"""{s.ENCOUNTERS}, assessed AS (SELECT *, (id % 97)::DOUBLE / 100 AS pitta, (id % 89)::DOUBLE / 100 AS kapha,
+  CASE id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN 'none' END AS ama, CASE WHEN id % 3 = 0 THEN 'sama' WHEN id % 3 = 1 THEN 'manda' END AS agni FROM encounters)"""
+TIMELINE = """timeline AS (SELECT a.patient_id, a.id AS encounter_id, strftime(a.created_at, '%Y-%m-%d') AS date, a.ritu, a.status, a.triage_level, l.label, l.confirmed,
+  CASE WHEN NOT a.stopped THEN a.vata END AS vata, CASE WHEN NOT a.stopped THEN a.pitta END AS pitta, CASE WHEN NOT a.stopped THEN a.kapha END AS kapha
+  FROM assessed a JOIN (SELECT id, CASE WHEN encounter_id IS NOT NULL THEN c ELSE top_condition END AS label, encounter_id IS NOT NULL AS confirmed
+    FROM encounters LEFT JOIN conf ON encounter_id = id) l USING (id))"""
+HISTORY = f"""{ASSESSED}, {s.REVIEWS},
+conf AS (SELECT encounter_id, condition_id AS c FROM (SELECT *, row_number() OVER (PARTITION BY encounter_id ORDER BY created_at DESC, id DESC) AS n
+   FROM reviews WHERE decision IN ('confirmed', 'revised')) WHERE n = 1), {TIMELINE}"""
+
+
+def assessed(spark, sf):
+    ama, agni = F.expr("CASE id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN 'none' END"), F.expr("CASE WHEN id % 3 = 0 THEN 'sama' WHEN id % 3 = 1 THEN 'manda' END")
+    return s.encounters(spark, sf).select("*", ((F.col("id") % 97) / 100).alias("pitta"), ((F.col("id") % 89) / 100).alias("kapha"), ama.alias("ama"), agni.alias("agni"))
+
+
+@query("patient_timeline", f"WITH {HISTORY} SELECT * FROM timeline")
+def patient_timeline(spark, sf):
+    return hi.timeline(lo.encounter_labels(assessed(spark, sf), s.reviews(spark, sf))).withColumn("date", F.col("date").cast("string"))
+
+
+@query("season_recurrence", f"""
+WITH {HISTORY}, per AS (SELECT patient_id, label, ritu, count(*) AS n FROM timeline WHERE label IS NOT NULL GROUP BY 1, 2, 3)
+SELECT * FROM (SELECT *, (sum(n) OVER (PARTITION BY patient_id, label))::BIGINT AS episodes, max(n) OVER (PARTITION BY patient_id, label) >= 2 AS seasonal FROM per) WHERE episodes >= 2""")
+def season_recurrence(spark, sf):
+    return hi.season_counts(lo.encounter_labels(s.encounters(spark, sf), s.reviews(spark, sf)))
+
+
+EFFECTS = {"vata": 5, "pitta": 7, "kapha": 11}
+
+
+@query("trend_all", f"""
+WITH {ASSESSED}, {LOGS},
+wide AS (SELECT patient_id AS user_id, 'checkup' AS series, strftime(created_at, '%Y-%m-%d') AS at,
+    unnest([{{'measure': 'vata', 'value': vata, 'level': NULL::VARCHAR}}, {{'measure': 'pitta', 'value': pitta, 'level': NULL}}, {{'measure': 'kapha', 'value': kapha, 'level': NULL}},
+            {{'measure': 'ama', 'value': NULL, 'level': ama}}, {{'measure': 'agni', 'value': NULL, 'level': agni}}]) AS m FROM assessed WHERE NOT stopped
+  UNION ALL SELECT user_id, 'dinacharya', strftime(day, '%Y-%m-%d'), unnest([{{'measure': 'score', 'value': score::DOUBLE, 'level': NULL::VARCHAR}},
+    {', '.join(f"{{'measure': 'effect_{d}', 'value': (k % {n} - 2)::DOUBLE, 'level': NULL}}" for d, n in EFFECTS.items())}]) FROM logs
+  UNION ALL SELECT 'u' || user_id, 'ojas', strftime(ts, '%Y-%m-%d'), {{'measure': 'score', 'value': (event_id % 24)::DOUBLE, 'level': NULL::VARCHAR}} FROM events WHERE event_type = 'purchase')
+SELECT user_id, series, "at", m.measure AS measure, m.value AS value, m.level AS level FROM wide WHERE m.value IS NOT NULL OR m.level IS NOT NULL""")
+def trend_all(spark, sf):
+    effect = F.create_map(*[x for d, n in EFFECTS.items() for x in (F.lit(d), (F.col("k") % n - 2).cast("double"))])
+    vitality = table(spark, sf, "events").where("event_type = 'purchase'").select(
+        F.concat(F.lit("u"), "user_id").alias("user_id"), F.col("ts").alias("at"), (F.col("event_id") % 24).alias("score"))
+    return hi.trends(assessed(spark, sf), daily_logs(spark, sf).withColumn("dosha_effect", effect), vitality).withColumn("at", F.col("at").cast("string"))
+
+
+@query("dossier_sections", f"""
+WITH {HISTORY}, {s.CONSENTS}, {FORCE}, {s.CONDITIONS}, {s.BRIDGE},
+vis AS (SELECT * FROM encounters WHERE status IN ('submitted', 'reviewed') AND (practitioner_id IS NULL OR practitioner_id = 'pr2')
+  AND patient_id IN (SELECT user_id FROM force WHERE purpose = 'care' AND granted)),
+cases AS (SELECT id AS encounter_id, r AS rank, (top_condition + r) % 25 AS condition_id FROM vis CROSS JOIN (SELECT unnest([1, 2, 3]) AS r)),
+asked AS (SELECT * FROM conditions WHERE condition_id IN (SELECT condition_id FROM cases)),
+paper AS (SELECT name AS evidence_key, c_name, c_acctbal, c_custkey FROM customer JOIN conditions ON c_nationkey = condition_id),
+first AS (SELECT *, row_number() OVER (PARTITION BY evidence_key ORDER BY c_acctbal DESC, c_custkey DESC) AS position FROM paper QUALIFY position <= 3)
+SELECT 'cases' AS section, encounter_id::VARCHAR AS key, rank AS position, condition_id::VARCHAR AS item FROM cases
+UNION ALL SELECT 'history', patient_id, 0, concat_ws('|', encounter_id, date, ritu, status, triage_level, label, confirmed) FROM timeline WHERE patient_id IN (SELECT patient_id FROM vis)
+UNION ALL SELECT 'recurring', patient_id, n, concat_ws('|', label, ritu) FROM (SELECT patient_id, label, ritu, count(*)::INT AS n, sum(count(*)) OVER (PARTITION BY patient_id, label) AS e
+  FROM timeline WHERE label IS NOT NULL AND patient_id IN (SELECT patient_id FROM vis) GROUP BY 1, 2, 3) WHERE e >= 2
+UNION ALL SELECT 'references', condition_id::VARCHAR, 0, concat_ws('|', name, body_system, prognosis, age_low, age_high) FROM asked
+UNION ALL SELECT 'symptoms', condition_id::VARCHAR, 0, symptom FROM bridge WHERE condition_id IN (SELECT condition_id FROM asked)
+UNION ALL SELECT 'literature', condition_id::VARCHAR, n, name FROM asked JOIN (SELECT evidence_key, count(*)::INT AS n FROM paper GROUP BY 1) ON evidence_key = name
+UNION ALL SELECT 'papers', condition_id::VARCHAR, position::INT, c_name FROM asked JOIN first ON evidence_key = name""")
+def dossier_sections(spark, sf):
+    enc = s.encounters(spark, sf)
+    visible = pv.visible_cases(enc, s.consents(spark, sf), "pr2")
+    ranked = enc.select(F.col("id").alias("encounter_id"), "top_condition", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("rank"))
+    differential = ranked.select("encounter_id", "rank", ((F.col("top_condition") + F.col("rank")) % 25).alias("condition_id"))
+    conditions = s.conditions(spark, sf).withColumn("evidence_key", F.col("name"))
+    papers = table(spark, sf, "customer").join(conditions.select(F.col("condition_id").alias("c_nationkey"), "evidence_key"), "c_nationkey").select("evidence_key", "c_name", "c_acctbal", "c_custkey")
+    literature = papers.groupBy("evidence_key").agg(F.count(F.lit(1)).cast("int").alias("hits"))
+    parts = hi.dossier(visible, differential, conditions, s.bridge(spark, sf), literature, papers, lo.encounter_labels(assessed(spark, sf), s.reviews(spark, sf)), ["c_acctbal", "c_custkey"])
+    shown = {
+        "cases": ("encounter_id", F.col("rank"), F.col("condition_id")),
+        "history": ("patient_id", F.lit(0), F.concat_ws("|", *[F.col(c).cast("string") for c in ("encounter_id", "date", "ritu", "status", "triage_level", "label", "confirmed")])),
+        "recurring": ("patient_id", F.col("n"), F.concat_ws("|", F.col("label").cast("string"), "ritu")),
+        "references": ("condition_id", F.lit(0), F.concat_ws("|", *[F.col(c).cast("string") for c in ("name", "body_system", "prognosis", "age_low", "age_high")])),
+        "symptoms": ("condition_id", F.lit(0), F.col("symptom")),
+        "literature": ("condition_id", F.col("hits"), F.col("evidence_key")),
+        "papers": ("condition_id", F.col("position"), F.col("c_name")),
+    }
+    out = None
+    for name, (key, position, item) in shown.items():
+        part = parts[name].select(F.lit(name).alias("section"), F.col(key).cast("string").alias("key"), position.cast("int").alias("position"), item.cast("string").alias("item"))
+        out = part if out is None else out.unionByName(part)
+    return out
