@@ -13,18 +13,25 @@ from pyspark.sql import functions as F
 from medloom.session import cut_lineage
 
 SHINGLE = 5  # words
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Settings of each write: shuffle files go at once, and a task's Arrow batch of long texts stays small.
+WRITES = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; the write's shuffle files go at once."""
+    """Write ``df`` to the shared folder and read it back, under the settings of ``WRITES``."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+    before = {name: conf.get(name, None) for name in WRITES}
+    for name, value in WRITES.items():
+        conf.set(name, value)
     try:
         return cut_lineage(df)
     finally:
-        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 def text_of(name: str = "text") -> Column:
