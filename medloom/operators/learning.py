@@ -21,11 +21,11 @@ def holdout_ranks(cases: DataFrame, conditions: DataFrame, bridge: DataFrame, te
     model = sc.model_conditions(conditions, counts)
     names = model.select(F.col("condition_id"), F.col("name").alias("_true"))
     total = model.select("name").distinct().count()
-    blocks = bayes.read_blocks(model, sc.theta_cells(bridge, terms, cells), terms)
-    scored = bayes.score_cases(cases, blocks, top=total, questions=0)
-    joined = scored.join(cases.select("case_id", "condition_id"), "case_id").join(names, "condition_id", "left")
-    place = F.array_position(F.transform("ranked", lambda r: r["name"]), F.col("_true"))
-    return joined.select("case_id", F.when(place > 0, place).otherwise(F.lit(total)).cast("int").alias("rank"))
+    base = bayes.knowledge_base(model, sc.theta_cells(bridge, terms, cells), terms)
+    ranked, _ = bayes.rank_long(cases, base, top=total)
+    wanted = cases.select("case_id", "condition_id").join(names, "condition_id", "left")
+    joined = wanted.join(ranked.select("case_id", F.col("name").alias("_true"), "place"), ["case_id", "_true"], "left")
+    return joined.select("case_id", F.coalesce("place", F.lit(total)).cast("int").alias("rank"))
 
 
 def gate(cases: DataFrame, answers: DataFrame, conditions: DataFrame, bridge: DataFrame, terms: DataFrame, active_cases: DataFrame | None = None,

@@ -78,8 +78,8 @@ def nb_counts(spark, sf):
 
 def screened(spark, sf, top, questions):
     theta = sel.bernoulli_counts(order_cells(spark, sf), order_labels(spark, sf))
-    blocks = bayes.read_blocks(*sel.bayes_base(theta))
-    return bayes.score_cases(sc.answer_sets(s.case_answers(spark, sf)), blocks, top, questions, "string")
+    base = bayes.knowledge_base(*sel.bayes_base(theta))
+    return bayes.score_cases(sc.answer_sets(s.case_answers(spark, sf)), base, top, questions)
 
 
 NBPOST = f"""{OC}, {NB}, {s.ANSWERS}, cl AS (SELECT DISTINCT class, lp FROM nb),

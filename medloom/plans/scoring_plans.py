@@ -206,17 +206,17 @@ zz AS (SELECT c.case_id, kb.condition_id, name, lp + coalesce(ss, 0)
 post AS (SELECT *, e / sum(e) OVER (PARTITION BY case_id) AS p FROM (SELECT *, exp(z - max(z) OVER (PARTITION BY case_id)) AS e FROM zz))"""
 
 
-def scored(spark, sf, top, questions, block=bayes.BLOCK):
+def scored(spark, sf, top, questions, chunk=bayes.CHUNK):
     conditions, bridge = knowledge(spark, sf)
     vocab = terms(bridge)
     answers = s.case_answers(spark, sf)
-    blocks = bayes.read_blocks(sc.model_conditions(conditions), sc.theta_cells(bridge, vocab), vocab, block)
+    base = bayes.knowledge_base(sc.model_conditions(conditions), sc.theta_cells(bridge, vocab), vocab, chunk)
     state = sc.imbalance(answers, wh.dosha_llr(bridge, conditions), conditions)
     cases = s.cases(spark, sf).join(sc.answer_sets(answers), "case_id").join(
         state.select("case_id", F.array(*fv.DOSHAS).alias("vikriti")), "case_id", "left")
     cases = cases.withColumn("age", F.col("age").cast("double")).withColumn(
         "season", F.array(*sc.season_weights(F.col("on_date"), F.col("habitat"))))
-    return bayes.score_cases(cases, blocks, top, questions)
+    return bayes.score_cases(cases, base, top, questions)
 
 
 TOPK = f"""WITH {POST},
@@ -237,8 +237,8 @@ def differential_topk(spark, sf):
 
 @query("differential_blocks", TOPK)
 def differential_blocks(spark, sf):
-    """The same ranking with the base cut into blocks of eight conditions."""
-    return _topk(scored(spark, sf, 10, 0, block=8))
+    """The same ranking with the lists of untouched conditions read in chunks of eight."""
+    return _topk(scored(spark, sf, 10, 0, chunk=8))
 
 
 @query("differential_factors", f"""WITH {POST}

@@ -103,19 +103,20 @@ def test_screener_concentrates_and_gain_matches_brute_force(spark):
     cells = spark.createDataFrame(fixtures.planted_docs(), "row_id int, term string")
     labels = cells.select("row_id", F.substring("term", 1, 2).alias("label")).distinct()
     theta = selection.bernoulli_counts(cells, labels)
-    blocks = bayes.read_blocks(*selection.bayes_base(theta))
+    base = bayes.knowledge_base(*selection.bayes_base(theta))
     case = spark.createDataFrame([(1, ["g2_s0", "g2_s1"], ["g0_s0"])], "case_id int, yes array<string>, no array<string>")
-    out = bayes.score_cases(case, blocks, 4, 3, "string").first()
+    out = bayes.score_cases(case, base, 4, 3).first()
     assert out["ranked"][0]["name"] == "g2"
-    kb = blocks[0]
-    post = np.array([next(r["likelihood"] for r in out["ranked"] if r["name"] == i) for i in kb.ids])
+    wide = {(r["class"], r["term"]): r["theta"] for r in theta.collect()}
+    ids = sorted({c for c, _ in wide})
+    post = np.array([next(r["likelihood"] for r in out["ranked"] if r["name"] == i) for i in ids])
     h = lambda p: -sum(x * np.log2(x) for x in p if x > 0)
     for q in out["questions"]:
-        t = kb.theta[:, kb.terms[q["symptom"]]]
+        t = np.array([wide[c, q["symptom"]] for c in ids])
         m = float(post @ t)
         assert q["gain"] == pytest.approx(h(post) - m * h(post * t / m) - (1 - m) * h(post * (1 - t) / (1 - m)), abs=1e-9)
-    several = bayes.read_blocks(*selection.bayes_base(theta), block=2)
-    again = bayes.score_cases(case, several, 4, 3, "string").first()
+    several = bayes.knowledge_base(*selection.bayes_base(theta), chunk=2)
+    again = bayes.score_cases(case, several, 4, 3).first()
     assert [r["name"] for r in again["ranked"]] == [r["name"] for r in out["ranked"]]
     assert [q["symptom"] for q in again["questions"]] == [q["symptom"] for q in out["questions"]]
 
@@ -133,7 +134,7 @@ def knowledge(spark):
 def test_differential_and_feedback(spark):
     conditions, bridge, terms = knowledge(spark)
     case = spark.createDataFrame([(0, ["cough", "wheezing"], [], 40.0)], "case_id int, yes array<string>, no array<string>, age double")
-    base = bayes.read_blocks(scoring.model_conditions(conditions), scoring.theta_cells(bridge, terms), terms)
+    base = bayes.knowledge_base(scoring.model_conditions(conditions), scoring.theta_cells(bridge, terms), terms)
     top = bayes.score_cases(case, base, 5).first()["ranked"]
     systems = {r["condition_id"]: r["body_system"] for r in conditions.collect()}
     assert systems[top[0]["condition_id"]] == "respiratory"
@@ -141,8 +142,8 @@ def test_differential_and_feedback(spark):
     confirmed = spark.createDataFrame([(i, target) for i in range(15)], "case_id int, condition_id int")
     answers = spark.createDataFrame([(i, "cough", True) for i in range(15)], "case_id int, symptom string, present boolean")
     counts, cells = scoring.feedback_counts(confirmed, answers)
-    learned = bayes.read_blocks(scoring.model_conditions(conditions, counts), scoring.theta_cells(bridge, terms, cells), terms)
-    likelihood = lambda blocks: next(r["likelihood"] for r in bayes.score_cases(case, blocks, 200).first()["ranked"] if r["condition_id"] == target)
+    learned = bayes.knowledge_base(scoring.model_conditions(conditions, counts), scoring.theta_cells(bridge, terms, cells), terms)
+    likelihood = lambda kb: next(r["likelihood"] for r in bayes.score_cases(case, kb, 200).first()["ranked"] if r["condition_id"] == target)
     assert likelihood(learned) > likelihood(base)
 
 
@@ -315,11 +316,11 @@ def test_factors_do_not_depend_on_the_other_cases_of_a_batch(spark):
         "condition_id int, name string, log_prior double, vata double, pitta double, kapha double, age_low int, age_high int, female_weight double, male_weight double")
     cells = spark.createDataFrame([(1, "s", 0.9), (2, "s", 0.2)], "condition_id int, symptom string, theta double")
     terms = spark.createDataFrame([("s", 0.3)], "symptom string, background double")
-    blocks = bayes.read_blocks(conditions, cells, terms)
+    kb = bayes.knowledge_base(conditions, cells, terms)
     cases = spark.createDataFrame([(1, ["s"], [], None), (2, ["s"], [], [0.6, 0.2, 0.2])], "case_id int, yes array<string>, no array<string>, vikriti array<double>")
 
     def factors(df):
-        return {r["case_id"]: [x["factors"]["vikriti"] for x in r["ranked"]] for r in bayes.score_cases(df, blocks).collect()}
+        return {r["case_id"]: [x["factors"]["vikriti"] for x in r["ranked"]] for r in bayes.score_cases(df, kb).collect()}
 
     together, alone = factors(cases.coalesce(1)), factors(cases.where("case_id = 1"))
     assert alone[1] == together[1] == [0.0, 0.0]
