@@ -106,6 +106,44 @@ def _telling() -> list[str]:
     return sorted({w for family in NOTICES.values() for notice in family for w in _plain(notice)} - STOP)
 
 
+def _word_pattern(words: list[str]) -> str:
+    """Pattern of any of ``words`` as a whole word, common beginnings written once; to be searched for, not cut out."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        ends = "" in node
+        ways = [c + written(below) for c, below in sorted(node.items()) if c]
+        joined = ways[0] if len(ways) == 1 and not ends else f"(?:{'|'.join(ways)})" if ways else ""
+        return joined + "?" if ends and ways else joined
+
+    return rf"(?:^|[^\p{{L}}\p{{M}}\p{{N}}]){written(root)}(?![\p{{L}}\p{{M}}\p{{N}}])"
+
+
+def _needed() -> list[str]:
+    """Words of which a text has at least one if it holds ``CONFIRMED`` of a notice.
+
+    Of each notice the longest words, until the grams without any of them are too few to confirm it.
+    """
+    out = set()
+    for notices in NOTICES.values():
+        for notice in notices:
+            words = _plain(notice)
+            n = 3 if len(words) >= 4 else 2
+            grams = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+            chosen: set[str] = set()
+            for word in sorted(set(words), key=lambda w: (-len(w), w)):
+                if sum(not chosen & set(g) for g in grams) / len(grams) < CONFIRMED:
+                    break
+                chosen.add(word)
+            out |= chosen
+    return sorted(out)
+
+
 def _constant(rows: list[tuple[str, ...]], names: tuple[str, ...], df: DataFrame) -> DataFrame:
     """A few fixed rows as expressions, so that no worker has to unpickle them."""
     structs = [F.struct(*(F.lit(v).alias(n) for v, n in zip(r, names))) for r in rows]
@@ -141,21 +179,25 @@ def with_share(lines: DataFrame, family: Column | None = None) -> DataFrame:
 
     A line keeps the grams that some notice has before single notices are compared.
     """
-    held = lines.withColumn("given", tokens(F.col("line")))
-    held = held.withColumn("given", F.concat(_runs(F.col("given"), 2), _runs(F.col("given"), 3)))
+    held = lines if "known" in lines.columns else with_known(lines)
     meant = _templates() if family is None else F.filter(_templates(), lambda t: t["family"] == family)
+    best = F.array_max(F.transform(meant, lambda t: F.size(F.array_intersect(t["grams"], "known")) / F.size(t["grams"])))
+    return held.withColumn("share", F.coalesce(F.when(F.size("known") > 0, best), F.lit(0.0)))
+
+
+def with_known(lines: DataFrame) -> DataFrame:
+    """Adds ``known``: the word pairs and triples of ``line`` that some notice has."""
     known = F.array_distinct(F.flatten(F.transform(_templates(), lambda t: t["grams"])))
-    best = lambda g: F.array_max(F.transform(meant, lambda t: F.size(F.array_intersect(t["grams"], g)) / F.size(t["grams"])))
-    shares = F.transform(F.array(F.array_intersect(known, "given")), lambda g: F.when(F.size(g) > 0, best(g)))  # one element: a lambda's argument is made once
-    return held.withColumn("share", F.coalesce(F.element_at(shares, 1), F.lit(0.0))).drop("given")
+    held = lines.withColumn("given", tokens(F.col("line")))
+    return held.withColumn("known", F.array_intersect(known, F.concat(_runs(F.col("given"), 2), _runs(F.col("given"), 3)))).drop("given")
 
 
-def _wrapped(low: Column, telling: Column) -> Column:
+def _wrapped(low: Column) -> Column:
     """Runs of several lines up to a line without words, where they hold enough of some notice.
 
     The words of a notice that is broken over lines stand in no single line. Marks of comments are
     no words, those made of letters are taken off. The share asked for is the one that confirms, so
-    none that could be confirmed is left out.
+    none that could be confirmed is left out; it is only counted in runs with a word that it needs.
     """
     known = F.array_distinct(F.flatten(F.transform(_templates(), lambda t: t["grams"])))
     best = lambda g: F.array_max(F.transform(_templates(), lambda t: F.size(F.array_intersect(t["grams"], g)) / F.size(t["grams"])))
@@ -165,7 +207,8 @@ def _wrapped(low: Column, telling: Column) -> Column:
         return F.coalesce(F.element_at(F.transform(held, lambda g: F.when(F.size(g) > 0, best(g))), 1), F.lit(0.0))
 
     blocks = F.split(F.regexp_replace(low, "\r\n?", "\n"), r"\n[^\p{L}\p{M}\p{N}]*\n")
-    several = F.filter(blocks, lambda b: b.contains("\n") & F.regexp_like(b, telling))
+    needed = F.lit(_word_pattern(_needed()))
+    several = F.filter(blocks, lambda b: b.contains("\n") & F.regexp_like(b, needed))
     bare = F.transform(several, lambda b: F.regexp_replace(b, r"(?m)^[^\p{L}\p{M}\p{N}\n]*(?:rem|dnl|c)(?=[ \t]|$)", " "))
     return F.filter(bare, lambda b: share(b) >= CONFIRMED)
 
@@ -176,7 +219,7 @@ def fit(lines: DataFrame, negatives: int = NEGATIVES):
     ``lines`` (line) are distinct corpus paragraphs; at most ``negatives`` of those that share less
     than a fifth of any notice join the fit as unknown, picked by hash.
     """
-    own = with_share(lines).filter("share < 0.2").orderBy(F.xxhash64("line"), "line").limit(negatives).select(F.lit(UNKNOWN).alias("family"), "line")
+    own = with_share(lines).filter("share < 0.2").select("line").orderBy(F.xxhash64("line"), "line").limit(negatives).select(F.lit(UNKNOWN).alias("family"), "line")
     fixed = _constant([*_examples(), *((UNKNOWN, s) for s in OTHERS)], ("family", "line"), lines)
     rows = cut(fixed.unionByName(own).withColumn("words", ngrams(tokens(F.col("line")))).coalesce(1))
     back = F.pmod(F.xxhash64("line"), F.lit(5)) == 0  # a fifth is kept back for the temperature
@@ -197,13 +240,14 @@ def classify(lines: DataFrame, fitted) -> DataFrame:
     """line, family, probability, share, confirmed for each of ``lines``."""
     vocabulary, model, names, temperature = fitted
     given = vocabulary.transform(lines.withColumn("words", ngrams(tokens(F.col("line")))))
-    raw = cut(model.transform(given).select("line", vector_to_array("rawPrediction").alias("raw")))
+    extra = [c for c in lines.columns if c != "line"]
+    raw = cut(model.transform(given).select("line", *extra, vector_to_array("rawPrediction").alias("raw")))
     top = F.array_max("raw")
-    scaled = raw.select("line", F.transform("raw", lambda x: F.exp((x - top) / F.lit(temperature))).alias("e"))
-    chance = scaled.select("line", F.array_position("e", F.array_max("e")).cast("int").alias("at"), (F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda s, x: s + x)).alias("probability"))
+    scaled = raw.select("line", *extra, F.transform("raw", lambda x: F.exp((x - top) / F.lit(temperature))).alias("e"))
+    chance = scaled.select("line", *extra, F.array_position("e", F.array_max("e")).cast("int").alias("at"), (F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda s, x: s + x)).alias("probability"))
     family = F.element_at(F.array(*map(F.lit, names)), F.col("at"))
-    named = chance.select("line", F.when(F.col("probability") >= ACCEPT, family).otherwise(UNKNOWN).alias("family"), "probability")
-    return with_share(named, F.col("family")).withColumn("confirmed", F.col("share") >= CONFIRMED)
+    named = chance.select("line", *extra, F.when(F.col("probability") >= ACCEPT, family).otherwise(UNKNOWN).alias("family"), "probability")
+    return with_share(named, F.col("family")).withColumn("confirmed", F.col("share") >= CONFIRMED).drop("known")
 
 
 def license_scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
@@ -214,15 +258,15 @@ def license_scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     unknown. Null and empty texts have no paragraphs. Repeated rows repeat. Equal paragraphs are
     scored once, however many documents hold them.
     """
-    telling = r"(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(_telling()) + r")(?![\p{L}\p{M}\p{N}])"
+    telling = _word_pattern(_telling())
     low = F.lower(text_of())
     held = F.filter(F.split(low, "[\n\r]+"), lambda line: F.regexp_like(line, F.lit(telling)))
     none = F.array().cast("array<string>")
     told = F.regexp_like(low, F.lit(telling))
-    rows = docs.select(F.col("doc_id"), F.when(told, held).otherwise(none).alias("lines"), F.when(told, _wrapped(low, F.lit(telling))).otherwise(none).alias("runs"))
+    rows = docs.select(F.col("doc_id"), F.when(told, held).otherwise(none).alias("lines"), F.when(told, _wrapped(low)).otherwise(none).alias("runs"))
     rows = cut(rows.withColumn("row", F.xxhash64("doc_id", "lines", "runs")))
     each = rows.filter(F.size("lines") > 0).select("row", F.explode(F.concat("lines", "runs")).alias("line"))
-    lines = cut(each.select("line").distinct())
+    lines = cut(with_known(each.select("line").distinct()))
     scored = classify(lines, fit(lines, negatives)).filter("confirmed")
     hits = each.distinct().join(scored, "line")
     per_row = hits.groupBy("row").agg(
