@@ -1,11 +1,12 @@
-"""Pseudonyms in all spellings and ranges; places of very many matches."""
+"""Pseudonyms in all spellings and ranges; places of very many matches; licence words."""
 
 import re
 import time
 
+import regex
 from pyspark.sql import functions as F
 
-from medloom.llm import pii, secrets, spans
+from medloom.llm import licenses, pii, secrets, spans
 
 
 def _moved(spark, values):
@@ -70,3 +71,22 @@ def test_places_of_a_hundred_thousand_matches(spark):
     line = len("\u00e9 token=00000000\n")
     assert got["n"] == n and (got["a"]["start"], got["a"]["end"], got["a"]["value"]) == (2, line - 1, "00000000")
     assert (got["z"]["start"], got["z"]["end"], got["z"]["value"]) == ((n - 1) * line + 2, n * line - 1, f"{n - 1:08d}")
+
+
+def test_licence_words_are_found_as_whole_words_only():
+    words = licenses._telling()
+    pattern = regex.compile(licenses._word_pattern(words))
+    plain = regex.compile(r"(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(words) + r")(?![\p{L}\p{M}\p{N}])")
+    for word in words:
+        for text in (word, word[:-1], word[1:], f"{word}s", f"x{word}", f"é{word}", f"({word})", f"a {word}, b", f"{word}́", f"{word}-{word}", f"{word[:2]} {word}x"):
+            assert bool(pattern.search(text)) == bool(plain.search(text)), text
+
+
+def test_a_text_without_a_needed_word_cannot_confirm_a_notice():
+    needed = set(licenses._needed())
+    for notices in licenses.NOTICES.values():
+        for notice in notices:
+            words = licenses._plain(notice)
+            n = 3 if len(words) >= 4 else 2
+            grams = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+            assert sum(not needed & set(g) for g in grams) / len(grams) < licenses.CONFIRMED
