@@ -88,16 +88,15 @@ def age_range(text: Column) -> Column:
     span = r"(\d{1,2})\s*[-–to]+\s*(\d{1,3})"
     low, high = F.regexp_extract(t, span, 1), F.regexp_extract(t, span, 2)
     plus = F.regexp_extract(t, r"(\d{1,2})\s*\+", 1)
-    lows = F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(lo)) for p, lo, _ in fv.AGE_WORDS]))
-    highs = F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(hi)) for p, _, hi in fv.AGE_WORDS]))
+    words = F.array_compact(F.array(*[F.when(t.rlike(p), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))) for p, lo, hi in fv.AGE_WORDS]))
     pair = lambda a, b: F.struct(a.cast("int").alias("low"), b.cast("int").alias("high"))
     everyone = pair(F.lit(0), F.lit(120))
+    union = lambda w: F.when(F.size(w) > 0, pair(F.array_min(w["lo"]), F.array_max(w["hi"]))).otherwise(everyone)
     return (
         F.when(text.isNull() | t.rlike("any age|all age"), everyone)
         .when(low != "", pair(low, high))
         .when(plus != "", pair(plus, F.lit(120)))
-        .when(F.size(lows) > 0, pair(F.array_min(lows), F.array_max(highs)))
-        .otherwise(everyone)
+        .otherwise(F.element_at(F.transform(F.array(words), union), 1))  # each word is sought once
     )
 
 
