@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.text import fold_case
+from ..session import cut_lineage
 from .skew import dense_index, lookup
 
 CHECK_COLUMNS = ["source", "check_name", "value", "threshold", "passed", "blocking"]
@@ -92,25 +93,23 @@ def text_uniqueness(df: DataFrame, text: str, entity: str) -> DataFrame:
 
 
 def content_words(c):
-    words = F.regexp_extract_all(fold_case(c), F.lit("[a-z]+"), F.lit(0))
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*fv.CONFLICT_STOP_WORDS)))
+    words = F.array_distinct(F.regexp_extract_all(fold_case(c), F.lit("[a-z]{3,}"), F.lit(0)))
+    return F.filter(words, lambda w: ~w.isin(*fv.CONFLICT_STOP_WORDS))
 
 
 def conflicting_rows(df: DataFrame, row_id: str, entity: str, text: str) -> DataFrame:
     """Rows that share no content word with any other row of the same entity."""
-    rows = df.select(
+    rows = cut_lineage(df.select(
         F.col(row_id).alias("row_id"),
         F.trim(fold_case(as_code(F.col(entity)))).alias("entity"),
         content_words(as_code(F.col(text))).alias("words"),
-    )
-    words = rows.select("row_id", "entity", F.explode("words").alias("word")).select(
-        "row_id", F.concat_ws("\u0001", "entity", "word").alias("key")
-    )
-    holders = words.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
-    backed = (
-        lookup(words, holders, "key", ["n_rows"], "n_rows", F.col("row_id"))
-        .where("n_rows >= 2").select("row_id").distinct()
-    )
+    ))
+    # A row is backed unless it is the only holder of each word it lists, so holders are counted and never looked up.
+    holders = rows.select("row_id", "entity", F.explode("words").alias("word")).groupBy("entity", "word").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("row_id").alias("row_id"))
+    own = holders.where("n_rows = 1").groupBy("row_id").agg(F.count(F.lit(1)).alias("n_own"))
+    listed = rows.groupBy("row_id").agg(F.sum(F.size("words")).alias("n_words"))
+    backed = listed.join(own, "row_id", "left").where("n_words > coalesce(n_own, 0)").select("row_id")
     sizes = rows.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_rows"))
     lonely = rows.select("row_id", "entity").join(backed, "row_id", "left_anti")
     return (

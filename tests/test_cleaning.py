@@ -192,3 +192,13 @@ def test_conflicts_flag_only_the_copy_paste_row(spark):
             (2, "Asthma", "Wheezing, shortness of breath"), (3, "Asthma", "Wheezing, chest tightness"), (4, "Asthma", "Vision loss, blurred focus")]
     df = spark.createDataFrame(rows, "i int, e string, t string")
     assert [r["row_id"] for r in quality.conflicting_rows(df, "i", "e", "t").collect()] == [4]
+
+
+def test_conflicts_parse_each_text_once(spark, monkeypatch):
+    monkeypatch.setattr(quality, "lookup", lambda left, dim, key, *a: left.join(dim, key) if key == "entity" else pytest.fail("words were looked up"))
+    rows = [(0, "A", "alpha beta"), (1, "a ", "beta gamma"), (2, "A", "delta"), (2, "A", "epsilon"), (3, "A", None), (4, "A", "the 12"),
+            (5, "B", "alpha"), (6, None, "zeta"), (7, None, "eta"), (8, "C", "same"), (8, "C", "same"), (None, "A", "alpha"), (None, "C", "lone lone")]
+    df = spark.createDataFrame(rows, "i int, e string, t string")
+    out = quality.conflicting_rows(df, "i", "e", "t")
+    assert sorted(str(r["row_id"]) for r in out.collect()) == ["2", "2", "3", "4", "6", "7", "None", "None"]
+    assert "RegExpExtractAll" not in out._jdf.queryExecution().analyzed().toString()
