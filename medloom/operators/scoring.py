@@ -151,18 +151,20 @@ def derived_signs(answers: DataFrame) -> DataFrame:
 
 def tissue_states(cases: DataFrame, answers: DataFrame, bmi: str | None = None) -> DataFrame:
     """One column per tissue: normal, kshaya, vriddhi or mixed; body-mass index counts for two."""
-    present = F.col("present")
-    sums = []
-    for name, _, low, high in fv.DHATUS:
-        sums.append(F.count_if(present & F.col("symptom").isin(*low)).alias(f"{name}_low"))
-        sums.append((F.count_if(present & F.col("symptom").isin(*high)) if high else F.lit(0)).alias(f"{name}_high"))
-    counted = answers.groupBy("case_id").agg(*sums)
-    joined = cases.join(counted, "case_id", "left")
+    signs = {}  # each sign's sides as bits: two a tissue, so that a case is one number
+    for i, (_, _, low, high) in enumerate(fv.DHATUS):
+        for side, names in enumerate((low, high)):
+            for sign in names:
+                signs[sign] = signs.get(sign, 0) | 1 << (2 * i + side)
+    table = F.broadcast(dims.dim(answers.sparkSession, sorted(signs.items()), "symptom string, sides int"))
+    met = answers.where("present").join(table, "symptom").groupBy("case_id").agg(F.bit_or("sides").alias("_sides"))
+    joined = cases.join(met, "case_id", "left")
+    sides = F.coalesce("_sides", F.lit(0))
     b = F.col(bmi) if bmi else F.lit(None).cast("double")
     states = []
-    for name, *_ in fv.DHATUS:
-        low = F.coalesce(F.col(f"{name}_low"), F.lit(0)) > 0
-        high = F.coalesce(F.col(f"{name}_high"), F.lit(0)) > 0
+    for i, (name, *_) in enumerate(fv.DHATUS):
+        low = sides.bitwiseAND(F.lit(1 << 2 * i)) > 0
+        high = sides.bitwiseAND(F.lit(2 << 2 * i)) > 0
         if name in ("mamsa", "meda"):
             low = low | F.coalesce(b < fv.BMI_UNDERWEIGHT, F.lit(False))
         if name == "meda":
