@@ -9,7 +9,9 @@
 3. Candidates of a band bucket are compared with the bucket's hub (the member with most company over
    all its bands). A bucket whose members are not one class by then stays open: members of different
    classes meet in slots of growing width, at last all of them, so that no pair is left undecided.
-   An exact prefix filter over weighted shingles drops pairs that cannot reach the threshold.
+   Narrow slots give rows of pairs, less those that an exact prefix filter over weighted shingles rules
+   out. Wide slots are cut into blocks of bounded size, and each two blocks are compared in one task,
+   which writes links only.
 4. A link needs a weighted Jaccard similarity of at least the threshold, computed from whole texts.
    Classes are the connected components of the links.
 """
@@ -32,6 +34,7 @@ ROWS = 4  # a pair at 0.8 is missed in 1 of 550 cases, at 0.9 in 1 of 90,000
 GROUP_BYTES = 8 << 20  # of text in one task's hands
 HASH_BITS = 56
 WIDTH, WIDEN = 4, 16  # members of a slot of an open bucket at first, and its growth a round
+BLOCK, BLOCK_BYTES = 1024, 32 << 20  # members of a wide slot in one block, and bytes of their shingles
 CODES = 255  # levels of inverse document frequency
 
 
@@ -246,15 +249,18 @@ def verified(pairs: DataFrame, pool: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(_compare, "doc_id long, hub long, similarity double").filter(F.col("similarity") >= threshold)
 
 
+MARKS = "doc_id long, total double, prefix array<int>, hashes binary, weights binary, size long"
+
+
 def _marks(threshold: float):
-    """(doc_id, total, prefix) of texts: total weight, and 32 bits of the shingles of the prefix.
+    """Columns ``MARKS`` of texts: total weight, 32 bits of the shingles of the prefix, and the weighted shingles.
 
     Shingles stand rarest first. Two texts whose prefixes share none have all their common weight in
     one text's rest, which is less than ``threshold`` of its total: they cannot be a link.
     """
     def run(batches):
         for batch in batches:
-            words, totals, prefixes = batch.column("words").cast(pa.string()), [], []
+            words, totals, prefixes, hashes, weights = batch.column("words").cast(pa.string()), [], [], [], []
             for i, code in enumerate(batch.column("codes")):
                 h, w = _weighted_set(words.slice(i, 1), code.as_py())
                 order = np.lexsort((h, -np.frombuffer(code.as_py(), np.uint8).astype(np.int16)))
@@ -262,7 +268,12 @@ def _marks(threshold: float):
                 k = int(np.argmax(rest < (threshold - 1e-9) * w.sum())) + 1 if threshold > 1e-9 else len(h)
                 totals.append(float(w.sum()))
                 prefixes.append(np.unique(h[order[:k]].astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(totals, pa.float64()), pa.array(prefixes, pa.list_(pa.int32()))], names=["doc_id", "total", "prefix"])
+                hashes.append(h.tobytes())
+                weights.append(w.tobytes())
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array(totals, pa.float64()), pa.array(prefixes, pa.list_(pa.int32())),
+                pa.array(hashes, pa.binary()), pa.array(weights, pa.binary()), pa.array([2 * len(x) for x in hashes], pa.int64()),
+            ], names=["doc_id", "total", "prefix", "hashes", "weights", "size"])
 
     return run
 
@@ -279,14 +290,18 @@ def _open_buckets(buckets: DataFrame, links: DataFrame) -> DataFrame:
     return cut(placed.join(parted.filter("parts > 1").drop("parts"), ["band", "key"]))
 
 
+def _dealt(members: DataFrame, width: int) -> DataFrame:
+    slots = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.col("n") / F.lit(width))), F.lit(0))).cast("long")
+    return members.withColumn("slot", F.pmod(F.xxhash64("doc_id"), slots))
+
+
 def _open_pairs(members: DataFrame, marks: DataFrame, width: int, threshold: float) -> DataFrame:
     """(doc_id, hub): pairs of an open bucket from different classes that can reach the threshold.
 
     A bucket is dealt into slots of about ``width`` members; up to ``width`` members it is one slot
     and gives all its pairs. Members of the main class never meet each other.
     """
-    slots = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.col("n") / F.lit(width))), F.lit(0))).cast("long")
-    dealt = cut(members.withColumn("slot", F.pmod(F.xxhash64("doc_id"), slots)).join(marks, "doc_id"))
+    dealt = cut(_dealt(members, width).join(marks.select("doc_id", "total", "prefix"), "doc_id"))
     side = lambda t, x: t.select("band", "key", "slot", *(F.col(c).alias(c + x) for c in ("doc_id", "root", "total", "prefix")))
     both = side(dealt.filter("root <> main"), "_a").join(side(dealt, "_b"), ["band", "key", "slot"])
     near = F.least("total_a", "total_b") >= (threshold - 1e-9) * F.greatest("total_a", "total_b")
@@ -294,6 +309,67 @@ def _open_pairs(members: DataFrame, marks: DataFrame, width: int, threshold: flo
     return kept.select(F.greatest("doc_id_a", "doc_id_b").alias("doc_id"), F.least("doc_id_a", "doc_id_b").alias("hub")).distinct()
 
 
+def _cell_pairs(threshold: float):
+    """Links between the two blocks of a cell, or within its only one, of members of different classes.
+
+    Common weight is at most what either text has in shingles that another member holds too; pairs that
+    pass this bound are summed over those shingles, and what reaches the threshold is compared in full.
+    """
+    least = threshold / (1 + threshold)  # of both totals, as common weight
+
+    def run(key, table):
+        doc, root, block = (table.column(c).to_numpy() for c in ("doc_id", "root", "block"))
+        order = np.lexsort((doc, block))
+        doc, root, block = doc[order], root[order], block[order]
+        column = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(c).take(pa.array(order))]
+        sets = list(zip(column("hashes", np.uint64), column("weights", np.float64)))
+        n, sizes = len(sets), np.array([len(h) for h, _ in sets])
+        weights = np.concatenate([w for _, w in sets])
+        total = np.add.reduceat(weights, np.cumsum(sizes) - sizes)
+        known, local, held = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True)
+        common = held[local] > 1
+        local, weights, rows = local[common], weights[common], np.repeat(np.arange(n), sizes)[common]
+        first = np.searchsorted(rows, np.arange(n + 1))
+        most = np.bincount(rows, weights, n)
+        line, found = np.zeros(len(known)), []
+        split = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
+        for a in range(split or n):
+            rest = np.arange(split or a + 1, n)
+            need = least * (total[a] + total[rest]) * (1 - 1e-9)
+            rest = rest[(root[rest] != root[a]) & (np.minimum(most[a], most[rest]) >= need)]
+            if not len(rest):
+                continue
+            line[local[first[a] : first[a + 1]]] = weights[first[a] : first[a + 1]]
+            length = first[rest + 1] - first[rest]
+            at = np.repeat(first[rest] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            shared = np.bincount(np.repeat(np.arange(len(rest)), length), np.minimum(line[local[at]], weights[at]), len(rest))
+            line[local[first[a] : first[a + 1]]] = 0
+            for b in rest[shared >= least * (total[a] + total[rest]) * (1 - 1e-9)]:
+                found.append((max(doc[a], doc[b]), min(doc[a], doc[b]), weighted_jaccard(sets[a], sets[b])))
+        return pa.table([pa.array(x, kind) for x, kind in zip(zip(*found) if found else ([], [], []), (pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "hub", "similarity"])
+
+    return run
+
+
+def _cell_links(members: DataFrame, marks: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(doc_id, hub, similarity): links between members of different classes in slots of about ``width``.
+
+    A slot is cut into blocks by the number of its members and the bytes of their shingles; each two
+    blocks, and each block with itself, are one cell.
+    """
+    slot = ["band", "key", "slot"]
+    dealt = cut(_dealt(members, width).join(marks.select("doc_id", "size"), "doc_id"))
+    sizes = dealt.groupBy(*slot).agg(F.count(F.lit(1)).alias("all"), F.sum("size").alias("bytes"), F.count_if(F.col("root") != F.col("main")).alias("others"))
+    blocks = F.greatest(F.ceil(F.col("all") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    cells = dealt.join(sizes.filter("others > 0 AND all > 1").select(*slot, blocks), slot)
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks").cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select(*slot, "doc_id", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    given = cells.join(marks.select("doc_id", "hashes", "weights"), "doc_id")
+    found = given.groupBy(*slot, "low", "high").applyInArrow(_cell_pairs(threshold), "doc_id long, hub long, similarity double")
+    return found.filter(F.col("similarity") >= threshold).dropDuplicates(["doc_id", "hub"])
+
+
 def near_links(texts: DataFrame, heads: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (doc_id, hub, similarity) among the ``heads`` (doc_id, same) of ``texts``.
 
@@ -308,21 +384,27 @@ def near_links(texts: DataFrame, heads: DataFrame, threshold: float = THRESHOLD)
     pool = cut(texts.select("doc_id", "same", "words", "codes").join(company, ["doc_id", "same"], "left_semi").drop("same").dropDuplicates(["doc_id"]))
     shared = pairs.select("band", "key", "doc_id")
     fresh = cut(pairs.filter("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("doc_id"), F.least("doc_id", "hub").alias("hub")).distinct())
-    links, tried, marks, width = cut(verified(fresh, pool, threshold)), fresh, None, WIDTH
+    links, marks, width, done = cut(verified(fresh, pool, threshold)), None, WIDTH, 0
+    opened = _open_buckets(shared, links)
     while True:  # few comparisons join most of a dense bucket; what is left meets in wider slots, at last all
-        members = _open_buckets(shared, links)
+        members = opened.filter(F.col("n") > done)  # buckets of one slot gave all their pairs
         widest = members.agg(F.max("n").alias("n")).first()["n"]
         if widest is None:
             return links
         if marks is None:  # open buckets only become fewer
-            marks = cut(pool.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_marks(threshold), "doc_id long, total double, prefix array<int>"))
-        fresh = cut(_open_pairs(members, marks, width, threshold).join(tried, ["doc_id", "hub"], "left_anti"))
-        if not fresh.isEmpty():
-            links = cut(links.unionByName(verified(fresh, pool, threshold)))
-            tried = tried.unionByName(fresh)
+            marks = cut(pool.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_marks(threshold), MARKS))
+        if width == WIDTH:
+            found = verified(_open_pairs(members, marks, width, threshold).join(fresh, ["doc_id", "hub"], "left_anti"), pool, threshold)
+        else:
+            found = _cell_links(members, marks, width, threshold)
+        found = cut(found)
+        if not found.isEmpty():
+            links = cut(links.unionByName(found))
         if widest <= width:
             return links
-        width *= WIDEN
+        if not found.isEmpty():
+            opened = _open_buckets(shared, links)
+        done, width = width, width * WIDEN
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:

@@ -109,6 +109,33 @@ def test_near_links_leave_no_pair_of_a_bucket_undecided(spark):
     assert _linked(spark, words, {k: [1, k] for k in words}) == {(40, 41)}
 
 
+def test_wide_buckets_give_links_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    a = [f"w{i}" for i in range(204)]
+    # near copies of one text with scattered changes: most pairs pass the prefix filter and few are links
+    words = {k: [f"x{k}_{i}" if i in hit else w for i, w in enumerate(a)] for k in range(1, 61) for hit in [set(rng.choice(204, int(rng.integers(1, 6)), False))]}
+    bands = {k: [1, k] for k in words}
+    rows = [(d, " ".join(w), bytes([255]) * len({tuple(w[i : i + 5]) for i in range(len(w) - 4)})) for d, w in words.items()]
+    pool = spark.createDataFrame(rows, "doc_id long, words string, codes binary")
+    marks = pool.mapInArrow(minhash._marks(0.8), minhash.MARKS)
+    members = spark.createDataFrame([(0, 1, d, d % 7 if d % 7 < 3 else d + 100, 0, len(words)) for d in words], "band int, key long, doc_id long, root long, main long, n long")
+    found = {(r["doc_id"], r["hub"]): r["similarity"] for r in minhash._cell_links(members, marks, 64, 0.8).collect()}
+    root = {d: d % 7 if d % 7 < 3 else d + 100 for d in words}
+    sets = {d: set(zip(*[w[i:] for i in range(5)])) for d, w in words.items()}
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in words for j in words if i > j and root[i] != root[j]}
+    want = {k: v for k, v in want.items() if v >= 0.8}
+    assert want and set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-6 for k in want)
+    # by hub, narrow slots and cells, the links join what links of all pairs join
+    linked = {frozenset(x) for x in _linked(spark, words, bands)}
+    whole = {frozenset((i, j)) for i in words for j in words if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    classes = [set(x) for x in linked]
+    for d in words:
+        touched = [c for c in classes if d in c]
+        classes = [c for c in classes if d not in c] + ([set().union(*touched)] if touched else [])
+    assert linked <= whole and all(any(x <= c for c in classes) for x in whole)
+
+
 def test_near_duplicates_odd_rows(odd_docs, no_docs):
     cls = {r["doc_id"]: (r["class_id"], r["kept"]) for r in minhash.near_duplicates(odd_docs, threshold=0.6).collect()}
     assert cls[2] == (1, False) and cls[6] == (1, False) and cls[3] == (1, False) and cls[4] == (4, True) and cls[5] == (4, False) and cls[8] == (8, True)
