@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -233,7 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 def _score_batches(model: Trees, kept: list[str]):
     def run(batches):
         for batch in batches:
-            scores = [model.score(statistics(buf, offsets)) for _, _, buf, offsets in string_batches(batch.column("__text"))]
+            text = pc.fill_null(batch.column("text"), "")
+            scores = [model.score(statistics(buf, offsets)) for _, _, buf, offsets in string_batches(text)]
             score = pa.array(np.concatenate(scores) if scores else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), score], names=[*kept, "__score"])
 
@@ -243,8 +245,7 @@ def _score_batches(model: Trees, kept: list[str]):
 def with_score(docs: DataFrame, model: Trees) -> DataFrame:
     """``docs`` and a column ``__score``: the chance of a good text, for null and empty texts too."""
     schema = docs.select("*", F.lit(0.0).alias("__score")).schema
-    given = docs.withColumn("__text", text_of())
-    return given.mapInArrow(_score_batches(model, docs.columns), schema)
+    return docs.mapInArrow(_score_batches(model, docs.columns), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

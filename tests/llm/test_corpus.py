@@ -109,6 +109,18 @@ def test_near_links_leave_no_pair_of_a_bucket_undecided(spark):
     assert _linked(spark, words, {k: [1, k] for k in words}) == {(40, 41)}
 
 
+def test_scores_send_each_text_once(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "One text. " * 9)], "doc_id long, text string")
+    texts = ["", "Plain words in a row. " * 5, "!!! ### ||| 123"] * 20
+    raw = [t.encode() for t in texts]
+    x = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    scored = quality.with_score(docs, quality.grow(x, np.array([0.0, 1.0, 0.0] * 20), trees=3))
+    plan = scored._jdf.queryExecution().optimizedPlan()
+    assert plan.children().apply(0).output().size() == len(docs.columns)  # no second copy of the text on the way to Python
+    rows = {r["doc_id"]: (r["text"], r["__score"]) for r in scored.collect()}
+    assert rows[1][0] is None and rows[2][0] == "" and rows[1][1] == rows[2][1] < rows[3][1]
+
+
 def test_wide_buckets_give_links_not_pairs(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
     rng = np.random.default_rng(5)
