@@ -103,12 +103,15 @@ def nb_next_question(spark, sf):
     return asked.select("case_id", F.round(F.col("questions")[0]["gain"], 5).alias("gain"))
 
 
+BUDGETS = (5, 10, 20, 30, 40, 60)
+
+
 @query("compare_strategies")
 def compare_strategies(spark, sf):
     from .warehouse_plans import symptom_clusters
 
     clusters = symptom_clusters(spark, sf).withColumnRenamed("symptom", "term")
-    return sel.compare_strategies(order_cells(spark, sf), order_labels(spark, sf), clusters, (5,), folds=2)
+    return sel.compare_strategies(order_cells(spark, sf), order_labels(spark, sf), clusters, BUDGETS)
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxy"
