@@ -24,6 +24,7 @@ DISORDER = (
 
 
 WHOLE_BYTES = 1 << 30  # Spark reads a binary file as one value, which ends at 2 GB
+HELD_BYTES = 1 << 24  # of a file that its task can open itself; Spark's reader holds each whole file several times
 CHUNK_BYTES = 1 << 23
 
 
@@ -72,17 +73,21 @@ class DigestSource(DataSource):
         return DigestReader([(p, int(n)) for p, n in json.loads(self.options["files"])], int(self.options["chunk"]))
 
 
-def file_digests(spark: SparkSession, paths: list[str], whole: int = WHOLE_BYTES, chunk: int = CHUNK_BYTES) -> DataFrame:
+def file_digests(spark: SparkSession, paths: list[str], whole: int = WHOLE_BYTES, chunk: int = CHUNK_BYTES, held: int = HELD_BYTES) -> DataFrame:
     """(path, bytes, sha256), one task per file and files of any size.
 
     Files of up to ``whole`` bytes are read by Spark's own reader, so any file system it opens will
     do. Larger ones, which it cannot hold as one value, stream chunk by chunk through the digest;
-    their file system must be one that pyarrow opens too. Listing reads no content. Spark's reader
+    their file system must be one that pyarrow opens too. Where all files lie in a mounted folder, those
+    beyond ``held`` bytes stream as well. Listing reads no content. Spark's reader
     makes no row of an empty file, so those are added by name. Names of files, not their bytes, pass
     through the driver.
     """
     listed = spark.read.format("binaryFile").load(paths)
-    names = spark.createDataFrame([(unquote(p).replace("file:///", "file:/", 1),) for p in listed.inputFiles()], "path string")
+    files = listed.inputFiles()
+    if all(p.startswith("file:") for p in files):
+        whole = min(whole, held)
+    names = spark.createDataFrame([(unquote(p).replace("file:///", "file:/", 1),) for p in files], "path string")
     empty = names.join(listed.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit(""), 256).alias("sha256"))
     small = listed.where(F.col("length") <= whole).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     large = [[r["path"], r["length"]] for r in listed.where(F.col("length") > whole).select("path", "length").collect()]
